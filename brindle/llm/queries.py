@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import decontaminate, lang_id, near_dup
 
 
 def queries() -> dict:
     return {
+        "op6_fm_index_decontamination": decontaminate.query,
+        "op9_kneser_ney_language_id": lang_id.query,
         "op10_probminhash_near_dedup": near_dup.query,
     }
 
