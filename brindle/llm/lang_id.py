@@ -27,7 +27,7 @@ ORDER = 5
 BITS = 11
 ALPHABET = (1 << BITS) - 2
 #: At most so many 5-grams are kept for a language, the most frequent ones; this bounds the broadcast model.
-MAX_GRAMS = 500_000
+MAX_GRAMS = 200_000
 #: Up to so many probabilities (5-grams times languages), a task joins the models' 5-grams in one array; beyond, it asks each model.
 JOINT = 20_000_000
 #: Of the documents that get the language they are labelled with, so large a share is accepted.
@@ -186,27 +186,31 @@ def _find(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nda
 
 
 class Models:
-    """The models of all languages over one alphabet."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        wide = np.array(counts["gram"].to_list(), dtype=f"<U{ORDER}").view("<u4").reshape(-1, ORDER).copy() if len(counts) else np.zeros((0, ORDER), dtype="<u4")
-        wide[wide <= 1] = 0
-        n = counts["n"].to_numpy(dtype=np.int64)
-        points = np.unique(wide[:, -1])
-        weight = np.bincount(np.searchsorted(points, wide[:, -1]), weights=n, minlength=len(points))
-        order = np.lexsort((points, -weight))[:ALPHABET]
-        self.rank = np.full(0x110000, ALPHABET + 1, dtype=np.uint16)
-        self.rank[points[order]] = np.arange(1, len(order) + 1)
-        self.rank[0] = 0
-        packed = np.zeros(len(wide), dtype=U64)
-        for k in range(ORDER):
-            packed = (packed << U64(BITS)) | self.rank[wide[:, k]].astype(U64)
-        self.models = []
-        for lang in self.langs:
-            own = (counts["lang"] == lang).to_numpy()
-            g, of = np.unique(packed[own], return_inverse=True)
-            self.models.append(Model(g, np.bincount(of, weights=n[own])))
+    """The models of all languages over one alphabet.
+
+    What is sent to the tasks are the counted 5-grams; a worker makes the models
+    from them when it first needs them.
+    """
+
+    def __init__(self, langs: list[str], alphabet: np.ndarray, of: np.ndarray, packed: np.ndarray, n: np.ndarray):
+        self.langs, self.alphabet, self.counts = langs, alphabet, (of, packed, n)
+        self.models: list[Model] = []
+
+    def __getstate__(self) -> tuple:
+        return self.langs, self.alphabet, *self.counts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def ready(self) -> None:
+        if self.models or not self.langs:
+            return
+        self.rank = ranks(self.alphabet)
+        of, packed, n = self.counts
+        for k in range(len(self.langs)):
+            own = of == k
+            order = np.argsort(packed[own])
+            self.models.append(Model(packed[own][order], n[own][order]))
         self.known = np.unique(packed)
         self._joint: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -238,6 +242,7 @@ class Models:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits per character of each text under each model; NaN for a text without characters."""
+        self.ready()
         parts = [np.zeros((0, len(self.langs)))]
         for i, j in _chunks(texts):
             doc, points = characters(texts[i:j])
@@ -268,11 +273,39 @@ class Models:
         return {"lang": lang, "cross_entropy": entropy, "margin": margin}
 
 
+def ranks(alphabet: np.ndarray) -> np.ndarray:
+    """Code of every code point: from 1 by its place in the alphabet, one code for all others, 0 for the filler."""
+    rank = np.full(0x110000, ALPHABET + 1, dtype=np.uint16)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1)
+    rank[:2] = 0
+    return rank
+
+
 def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
     """Models of all languages that label a document. What reaches the driver is at most `max_grams` rows a language."""
+    counts = cut(gram_counts(docs))
+    rows = counts.groupBy(F.substring("gram", -1, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
+    alphabet = np.array([ord(r["c"]) for r in rows], dtype=np.int64)
+
+    def make():
+        rank = ranks(alphabet)
+
+        def f(langs: list, texts: list, n: list) -> dict:
+            wide = np.array(texts, dtype=f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
+            packed = np.zeros(len(wide), dtype=U64)
+            for k in range(ORDER):
+                packed = (packed << U64(BITS)) | rank[wide[:, k]].astype(U64)
+            return {"lang": langs, "gram": packed.astype(np.int64), "n": n}
+
+        return f
+
+    coded = map_batches(counts, ["lang", "gram", "n"], "lang string, gram long, n long", make).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = gram_counts(docs).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_grams).drop("r")
-    return Models(kept.toPandas())
+    kept = coded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_grams).drop("r")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    code = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1 if langs else F.lit(0)
+    found = kept.select(code.cast("int").alias("of"), "gram", "n").toPandas()
+    return Models(langs, alphabet, found["of"].to_numpy(np.int32), found["gram"].to_numpy(np.int64).astype(U64), found["n"].to_numpy(np.int64))
 
 
 def scorer(spark: SparkSession, models: Models):
