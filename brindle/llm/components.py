@@ -95,6 +95,17 @@ def star_edges(buckets: DataFrame, key: str, node: str) -> DataFrame:
     return buckets.select(F.col(node).alias("a"), low.alias("b")).where("a != b").distinct()
 
 
+def stars(buckets: DataFrame, key: str, node: str) -> DataFrame:
+    """(k, a, b) of every bucket with several nodes: each other node a and the smallest node b. One shuffle, one row a node."""
+    low = F.min(node).over(Window.partitionBy(key))
+    return buckets.select(F.col(key).alias("k"), F.col(node).alias("a"), low.alias("b")).where("a != b")
+
+
+def members(starred: DataFrame) -> DataFrame:
+    """(k, n) of the buckets that `stars` kept."""
+    return starred.select("k", F.col("a").alias("n")).union(starred.select("k", F.col("b").alias("n"))).distinct()
+
+
 def open_pairs(buckets: DataFrame, key: str, node: str, roots: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of one bucket that lie in different components so far and have not been tried.
 

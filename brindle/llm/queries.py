@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lang_id, near_dup
+from . import decontaminate, lang_id, line_dedup, near_dup
 
 
 def queries() -> dict:
     return {
         "op6_fm_index_decontamination": decontaminate.query,
+        "op8_minhash_line_dedup": line_dedup.query,
         "op9_kneser_ney_language_id": lang_id.query,
         "op10_probminhash_near_dedup": near_dup.query,
     }
