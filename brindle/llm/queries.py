@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lang_id, line_dedup, near_dup
+from . import decontaminate, lang_id, line_dedup, mixing, near_dup
 
 
 def queries() -> dict:
     return {
+        "op4_sainte_lague_mixing": mixing.query,
         "op6_fm_index_decontamination": decontaminate.query,
         "op8_minhash_line_dedup": line_dedup.query,
         "op9_kneser_ney_language_id": lang_id.query,
@@ -15,4 +16,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_sainte_lague_mixing": mixing.sql(),
+    }
