@@ -79,3 +79,17 @@ def replaced(docs: DataFrame, columns: dict) -> DataFrame:
     """docs with columns added; one of the same name (in any case) gives way."""
     taken = {c.lower() for c in columns}
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
+
+
+def bounded(df: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
+    """At most n rows of df, those with the smallest hashes of their keys; all rows where there are no more than n.
+
+    The hashes are first cut off at about the share that is wanted, so that no
+    task sorts or sends more than a fraction of n rows for it.
+    """
+    total = df.count()
+    h = F.xxhash64(F.lit(seed), *keys)
+    if total > n:
+        share = min(1.0, 1.1 * n / total + 100 / total)
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
