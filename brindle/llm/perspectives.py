@@ -78,10 +78,10 @@ WITH named AS (
   FROM own o JOIN speakers s ON o.conv_id = s.conv_id
 ), shown AS (SELECT *, head || text || '{END}' || chr(10) AS shown FROM headed
 ), placed AS (
-  SELECT *, row_number() OVER w AS at, (sum(length(shown)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS until FROM shown
+  SELECT *, row_number() OVER w AS place, (sum(length(shown)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS until FROM shown
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text)
 )
-SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained, string_agg(shown, '' ORDER BY at) AS text,
-  coalesce(string_agg((until - length(shown) + length(head))::VARCHAR || ':' || (until - 1)::VARCHAR, ',' ORDER BY at) FILTER (WHERE trained), '') AS mask
+SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained, string_agg(shown, '' ORDER BY place) AS text,
+  coalesce(string_agg((until - length(shown) + length(head))::VARCHAR || ':' || (until - 1)::VARCHAR, ',' ORDER BY place) FILTER (WHERE trained), '') AS mask
 FROM placed GROUP BY conv_id, perspective
 """
