@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import tpch
+from . import basic, siblings, tpch
 
-MODULES = (tpch,)
+MODULES = (tpch, basic, siblings)
 
 
 def queries() -> dict:
