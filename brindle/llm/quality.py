@@ -10,7 +10,9 @@ few splits, so that its mean path length is short. The score is
 
 near 1 for anomalies. Trees are grown on a bounded sample of documents labelled
 good, FIT_ROWS of them, those with the smallest hashes, and the limits of the
-score are calibrated over all labelled documents.
+score are calibrated over all labelled documents. A few documents labelled bad,
+BAD_SHARE of the good ones at most, are in the sample, so that statistics which
+all good ones agree in can be split at all.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .textvec import U64, Chars, chunks, shingles, tables
 STATISTICS = ("word_length", "long_words", "symbols", "capitals", "digits", "repeated_words", "repeated_phrases", "repeated_lines", "closed_lines", "distinct_words", "top_word")
 #: At most so many labelled documents grow the trees.
 FIT_ROWS = 20_000
+BAD_SHARE = 0.05
 TREES, SAMPLE = 128, 1024
 #: A text is rated as if it went on with so many usual words.
 PRIOR_WORDS = 40
@@ -168,15 +171,19 @@ def described(docs: DataFrame) -> DataFrame:
     return map_batches(docs.where("text is not null"), [F.col("doc_id").cast("long"), "text"], "doc_id long, s array<float>", make)
 
 
-def grow(found: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 1) -> tuple[np.ndarray, IsolationForest] | None:
-    """Usual statistics and the forest of a bounded sample of good documents; None where there is no good document."""
-    good = found.join(marks.where("good = 1"), F.col("doc_id") == F.col("id")).select("id", "s")
-    rows = bounded(good, ["id", "s"], fit_rows, seed).select("s").toArrow().column("s").combine_chunks()
-    if not len(rows):
+def grow(found: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS, bad_share: float = BAD_SHARE, seed: int = 1) -> tuple[np.ndarray, IsolationForest] | None:
+    """Usual statistics and the forest of a bounded sample; None where there is no good document."""
+
+    def sample(good: int, n: int) -> np.ndarray:
+        own = found.join(marks.where(F.col("good") == good), F.col("doc_id") == F.col("id")).select("id", "s")
+        rows = bounded(own, ["id", "s"], n, seed).select("s").toArrow().column("s").combine_chunks()
+        return rows.flatten().to_numpy().astype(float).reshape(len(rows), len(STATISTICS) + 1)
+
+    good = sample(1, fit_rows)
+    if not len(good):
         return None
-    rows = rows.flatten().to_numpy().astype(float).reshape(len(rows), -1)
-    usual = np.median(rows[:, :-1], axis=0)
-    return usual, IsolationForest(steadied(rows, usual), seed=seed)
+    usual = np.median(good[:, :-1], axis=0)
+    return usual, IsolationForest(steadied(np.concatenate((good, sample(0, int(bad_share * len(good))))), usual), seed=seed)
 
 
 def scores(found: DataFrame, usual: np.ndarray, forest: IsolationForest) -> DataFrame:
@@ -222,7 +229,7 @@ def keep(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     """
     marks = labelled(labels)
     found = cut(described(docs))
-    grown = grow(found, marks, fit_rows, seed)
+    grown = grow(found, marks, fit_rows, seed=seed)
     if grown is None:
         return found.select("doc_id", F.lit(None).cast("double").alias("score"))
     scored = cut(scores(found, *grown))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import map_batches, table
 
 THRESHOLD = 0.6
+#: A literal whose own look scores less is a word, whatever its name.
+LEAST_LOOK = 0.1
 #: Sensitivity of the words of a name; a pair of words counts as one.
 WORDS = {"password": 0.7, "passwd": 0.7, "passphrase": 0.7, "pwd": 0.65, "pass": 0.45, "secret": 0.6, "token": 0.5, "credential": 0.6, "credentials": 0.6, "auth": 0.35, "apikey": 0.65, "bearer": 0.5, "authorization": 0.5, "signature": 0.3, "salt": 0.35, "jwt": 0.5, "otp": 0.4, "privatekey": 0.65, "secretkey": 0.7, "accesskey": 0.6, "key": 0.25}
 PAIRS = {("api", "key"): 0.65, ("api", "token"): 0.65, ("api", "secret"): 0.7, ("secret", "key"): 0.7, ("access", "key"): 0.6, ("private", "key"): 0.65, ("access", "token"): 0.6, ("auth", "token"): 0.6, ("refresh", "token"): 0.6, ("client", "secret"): 0.7, ("encryption", "key"): 0.6, ("signing", "key"): 0.6, ("master", "key"): 0.6, ("account", "key"): 0.5, ("connection", "string"): 0.5, ("db", "pass"): 0.65}
@@ -86,7 +88,7 @@ def score(name: str, value: str) -> float:
     """Of a pair, 0 to 1.2; a known format is a secret under any name."""
     own = name_score(name)
     look = literal_score(value)
-    if look < 0:
+    if look < LEAST_LOOK:
         return 0.0
     return own + look if own else (0.6 if _KNOWN.match(value) else 0.0)
 

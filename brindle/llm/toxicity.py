@@ -31,7 +31,7 @@ FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 3e-4
 #: Terms in fewer documents of the sample, or with less evidence for either class, have no weights.
 MIN_DOCS, MIN_Z = 3, 3.0
-#: The threshold is the lowest one at which at least this share of the labelled documents above it is toxic.
+#: At the threshold, at least this share of the labelled documents above it is toxic.
 PRECISION = 0.97
 #: Scores are counted in so many bins for the threshold.
 BINS = 2000
@@ -171,15 +171,16 @@ def scores(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
 
 def threshold(scored: DataFrame, marks: DataFrame, precision: float = PRECISION) -> float | None:
-    """The lowest score from which on at least `precision` of all labelled documents are toxic, to a bin of 1 / BINS; None where there is none."""
+    """The score, to a bin of 1 / BINS, with the best F1 over all labelled documents among those from which on at least `precision` of them are toxic; None where there is none."""
     bins = F.floor(F.col("score") * BINS).cast("long")
     rows = scored.join(marks, F.col("doc_id") == F.col("id")).groupBy(bins.alias("bin")).agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
-    best, toxic, n = None, 0, 0
+    every = sum(r["toxic"] for r in rows)
+    best, least, toxic, n = 0.0, None, 0, 0
     for r in sorted(rows, key=lambda r: -r["bin"]):
         toxic, n = toxic + r["toxic"], n + r["n"]
-        if toxic and toxic >= precision * n:
-            best = r["bin"] / BINS
-    return best
+        if toxic >= precision * n and 2 * toxic / (every + n) > best:
+            best, least = 2 * toxic / (every + n), r["bin"] / BINS
+    return least
 
 
 def toxic(docs: DataFrame, labels: DataFrame, precision: float = PRECISION, fit_rows: int = FIT_ROWS, seed: int = 1) -> DataFrame:
