@@ -304,8 +304,8 @@ def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
     kept = coded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_grams).drop("r")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     code = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1 if langs else F.lit(0)
-    found = kept.select(code.cast("int").alias("of"), "gram", "n").toPandas()
-    return Models(langs, alphabet, found["of"].to_numpy(np.int32), found["gram"].to_numpy(np.int64).astype(U64), found["n"].to_numpy(np.int64))
+    found = kept.select(code.cast("int").alias("of"), "gram", "n").toArrow()  # columns of numbers; rows of Python objects would fill the driver
+    return Models(langs, alphabet, *(found.column(c).to_numpy().astype(t) for c, t in (("of", np.int32), ("gram", U64), ("n", np.int64))))
 
 
 def scorer(spark: SparkSession, models: Models):
