@@ -202,18 +202,20 @@ def scores(found: DataFrame, usual: np.ndarray, forest: IsolationForest) -> Data
 
 
 def limit(scored: DataFrame, marks: DataFrame) -> float:
-    """The score, to a bin of 1 / BINS, from which on documents are anomalous: it gives the best F1 for the bad ones over all labelled documents.
+    """The score from which on documents are anomalous: it gives the best F1 for the bad ones over all labelled documents.
 
-    Without bad ones it lies above all good ones.
+    Scores are counted in bins of 1 / BINS; the limit lies in the middle of the
+    gap to the next lower one that is taken, with best F1 only above it. Without bad ones it lies above all good ones.
     """
     bins = F.floor(F.col("score") * BINS).cast("long")
     rows = scored.join(marks, F.col("doc_id") == F.col("id")).groupBy(bins.alias("bin")).agg(F.sum(1 - F.col("good")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted(rows, key=lambda r: -r["bin"])
     every = sum(r["bad"] for r in rows)
-    best, least, bad, n = 0.0, (max((r["bin"] for r in rows), default=BINS) + 1) / BINS, 0, 0
-    for r in sorted(rows, key=lambda r: -r["bin"]):
+    best, least, bad, n = 0.0, ((rows[0]["bin"] if rows else BINS) + 1) / BINS, 0, 0
+    for r, below in zip(rows, [*rows[1:], None]):
         bad, n = bad + r["bad"], n + r["n"]
         if every and 2 * bad / (every + n) > best:
-            best, least = 2 * bad / (every + n), r["bin"] / BINS
+            best, least = 2 * bad / (every + n), (r["bin"] + below["bin"] + 1) / 2 / BINS if below else r["bin"] / BINS
     return least
 
 

@@ -171,15 +171,16 @@ def scores(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
 
 def threshold(scored: DataFrame, marks: DataFrame, precision: float = PRECISION) -> float | None:
-    """The score, to a bin of 1 / BINS, with the best F1 over all labelled documents among those from which on at least `precision` of them are toxic; None where there is none."""
+    """The score, in the middle between two bins of 1 / BINS that are taken, with the best F1 over all labelled documents among those from which on at least `precision` of them are toxic; None where there is none."""
     bins = F.floor(F.col("score") * BINS).cast("long")
     rows = scored.join(marks, F.col("doc_id") == F.col("id")).groupBy(bins.alias("bin")).agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted(rows, key=lambda r: -r["bin"])
     every = sum(r["toxic"] for r in rows)
     best, least, toxic, n = 0.0, None, 0, 0
-    for r in sorted(rows, key=lambda r: -r["bin"]):
+    for r, below in zip(rows, [*rows[1:], None]):
         toxic, n = toxic + r["toxic"], n + r["n"]
         if toxic >= precision * n and 2 * toxic / (every + n) > best:
-            best, least = 2 * toxic / (every + n), r["bin"] / BINS
+            best, least = 2 * toxic / (every + n), (r["bin"] + below["bin"] + 1) / 2 / BINS if below else r["bin"] / BINS
     return least
 
 

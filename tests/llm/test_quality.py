@@ -34,12 +34,12 @@ def test_paths_are_those_of_the_trees():
 
 def test_held_out(spark, small):
     """Fitted and calibrated on half of the labelled documents, the other half is told apart."""
-    labels = spark.read.parquet(f"{small.replace('0.001', '0.01')}/labels.parquet")
-    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{small.replace('0.001', '0.1')}/labels.parquet")
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet")
     kept = {r.doc_id for r in quality.keep(docs, labels.where("doc_id % 2 = 0")).collect()}
     rest = labels.where("doc_id % 2 = 1").collect()
     good, bad = [r.doc_id in kept for r in rest if r.quality == 1], [r.doc_id in kept for r in rest if r.quality == 0]
-    assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.15
+    assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.1
 
 
 def test_frame(spark):
