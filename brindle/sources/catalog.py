@@ -9,7 +9,8 @@ from __future__ import annotations
 import warnings
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +46,7 @@ class Catalog:
             if name.suffix == ".parquet":
                 try:
                     self.add(name.stem, entry)
-                except AnalysisException as e:
+                except (PySparkException, Py4JJavaError) as e:
                     warnings.warn(f"{entry} can't be read: {str(e).splitlines()[0]}", stacklevel=2)
         return self
 
