@@ -155,7 +155,7 @@ def q15(t: Tables) -> DataFrame:
 
 
 def q16(t: Tables) -> DataFrame:
-    parts = t.part.where((F.col("p_brand") != "Brand#45") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9)).select("p_partkey", "p_brand", "p_type", "p_size")
+    parts = t.part.where((F.col("p_brand") != "Brand#45") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(3, 9, 14, 19, 23, 36, 45, 49)).select("p_partkey", "p_brand", "p_type", "p_size")
     refused = t.supplier.where("s_acctbal < 0").select("s_suppkey")
     offers = not_in(join(t.lineitem.select("l_partkey", "l_suppkey"), parts, [("l_partkey", "p_partkey")]), "l_suppkey", refused)
     return aggregate(offers, ["p_brand", "p_type", "p_size"], supplier_cnt=("count_distinct", "l_suppkey"))
@@ -243,7 +243,7 @@ ORACLES = {
         SELECT p_partkey, value FROM v WHERE value > (SELECT sum(value) * 0.001 FROM v)""",
     "q12": """SELECT l_linestatus, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS high_line_count, count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS low_line_count
         FROM li JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') AND year(l_shipdate) = 1995 GROUP BY ALL""",
-    "q13": """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND NOT starts_with(o_orderpriority, '1-') GROUP BY ALL) GROUP BY ALL""",
+    "q13": """, each AS (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND NOT starts_with(o_orderpriority, '1-') GROUP BY ALL) SELECT c_count, count(*) AS custdist FROM each GROUP BY ALL""",
     "q14": "SELECT (100 * sum(CASE WHEN starts_with(p_type, 'PROMO') THEN net ELSE 0 END)::DOUBLE / sum(net)::DOUBLE)::DECIMAL(18,6) AS promo_revenue FROM li JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= DATE '1995-09-01' AND l_shipdate < DATE '1995-10-01'",
     "q15": """, r AS (SELECT l_suppkey, sum(net)::DECIMAL(24,4) AS total_revenue FROM li WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY ALL)
         SELECT s_suppkey, s_name, total_revenue FROM r JOIN supplier ON l_suppkey = s_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)""",
