@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components, members, open_pairs, stars
-from .shared import cut, long_lists, map_batches, release, replaced, table
+from .shared import cut, long_lists, map_batches, maybe_in, release, replaced, table
 from .textvec import U64, Chars, chunks, counted, mix, signed
 
 SHINGLE = 7
@@ -149,8 +149,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = worded_lines(docs)
     starred = cut(stars(sketches(lines).select("h", F.explode("bands").alias("k")), "k", "h"))
     release(docs.sparkSession)
-    texts = lines.groupBy("h").agg(F.first(F.trim("line")).alias("line"))
     pairs = cut(starred.select("a", "b").distinct())
+    # every pair to come is one of lines that share a bucket: their texts are fetched once, and only theirs
+    nodes = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
+    wanted = maybe_in(lines.select("h", F.trim("line").alias("line")), "h", nodes, "h")
+    # an inner join, since a semi-join would be pushed below the broadcast that spares its shuffle
+    texts = cut(wanted.groupBy("h").agg(F.first("line").alias("line")).join(nodes, "h"))
+    release(docs.sparkSession)
     edges = cut(verified(pairs, texts, threshold))
     release(docs.sparkSession)
     roots = cut(components(edges))

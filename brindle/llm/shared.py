@@ -93,3 +93,18 @@ def bounded(df: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
         share = min(1.0, 1.1 * n / total + 100 / total)
         df = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     return df.orderBy(F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows whose bigint column may be among the keys: all that are, and few others while there are fewer than 2**bits keys.
+
+    A bitmap of 2**bits positions, as at most 2**(bits - 6) words, is broadcast
+    whatever the number of keys; it spares a later join the shuffle of most rows
+    that have no partner.
+    """
+    place = lambda c: F.xxhash64(F.lit(7), c).bitwiseAND(F.lit((1 << bits) - 1))
+    word = lambda p: F.shiftright(p, 6)
+    words = keys.select(place(F.col(key)).alias("__p")).groupBy(word(F.col("__p")).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 as int))")).alias("__bits"))
+    placed = rows.withColumn("__p", place(F.col(column)))
+    hit = placed.join(F.broadcast(words), word(F.col("__p")) == F.col("__word"))
+    return hit.where("__bits & shiftleft(1L, cast(__p & 63 as int)) != 0").select(*[f"`{c}`" for c in rows.columns])

@@ -71,7 +71,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def chunks(texts: list, limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, limit: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of the batch that hold about `limit` characters, one text at least."""
     i = total = 0
     for j, t in enumerate(texts):
