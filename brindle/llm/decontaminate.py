@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import map_batches, replaced, table
+from .shared import map_batches, replaced, settle, table
 from .textvec import Chars, chunks
 
 PHRASE = 8
@@ -160,12 +160,13 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, sh
     """
     sent = send(benchmark, length, shortest)
 
-    @F.pandas_udf("string")
-    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sets = [b.value for b in sent]
         for batch in batches:
-            texts = batch.to_list()
-            yield pd.Series([without(t, s) if s else None for t, s in zip(texts, spans(sets, texts))], dtype=object)
+            texts = batch.to_pylist()
+            yield pa.array([without(t, s) if s else None for t, s in zip(texts, spans(sets, texts))], type=pa.string())
+        settle()
 
     marked = docs.withColumn("__clean", cleaned("text"))
     left = marked.where("__clean is null or __clean rlike '[^\\\\W_]'")

@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, map_batches, table
+from .shared import cut, map_batches, pieces, settle, table
 from .textvec import U64, Chars, mix, tables
 
 ORDER = 5
@@ -33,7 +33,7 @@ JOINT = 20_000_000
 #: Of the documents that get the language they are labelled with, so large a share is accepted.
 ACCEPTED = 0.999
 #: Documents in a scoring chunk and characters in it; the chunk number must fit beside a 5-gram in 64 bits.
-CHUNK_DOCS, CHUNK_CHARS = 1 << (63 - ORDER * BITS), 1_500_000
+CHUNK_DOCS, CHUNK_CHARS = 1 << (63 - ORDER * BITS), 250_000
 SCORE = "lang string, cross_entropy double, margin double"
 
 
@@ -175,7 +175,7 @@ class Model:
 def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys)
     order = np.argsort(h)
-    return h[order], values[order]
+    return h[order], values[order].astype(np.float32)
 
 
 def _find(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +194,7 @@ class Models:
 
     def __init__(self, langs: list[str], alphabet: np.ndarray, of: np.ndarray, packed: np.ndarray, n: np.ndarray):
         self.langs, self.alphabet, self.counts = langs, alphabet, (of, packed, n)
+        self.sent = False
         self.models: list[Model] = []
 
     def __getstate__(self) -> tuple:
@@ -201,6 +202,7 @@ class Models:
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
+        self.sent = True
 
     def ready(self) -> None:
         if self.models or not self.langs:
@@ -223,10 +225,12 @@ class Models:
         """
         if self._joint is None:
             known = self.known if self.known.size * len(self.langs) <= JOINT else self.known[:0]
-            values = np.column_stack([m.log2(known) for m in self.models])
+            values = np.column_stack([m.log2(known) for m in self.models]).astype(np.float32)
             h = mix(known)
             order = np.argsort(h)
             self._joint = h[order], values[order]
+            if self.sent:  # a worker's copy needs neither any more, and keeps its models for long
+                self.known = self.counts = None
         hashes, values = self._joint
         out = np.empty((len(packed), len(self.langs)))
         there = np.zeros(len(packed), dtype=bool)
@@ -311,10 +315,13 @@ def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
 def scorer(spark: SparkSession, models: Models):
     shared = spark.sparkContext.broadcast(models)
 
-    @F.pandas_udf(SCORE)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame(shared.value.score(texts.to_list()))
+    @F.arrow_udf(SCORE)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [shared.value.score(texts.to_pylist()) for texts in pieces(batch)]
+            columns = [pa.array([x for p in parts for x in p[name]], type=kind) for name, kind in (("lang", pa.string()), ("cross_entropy", pa.float64()), ("margin", pa.float64()))]
+            yield pa.StructArray.from_arrays(columns, ["lang", "cross_entropy", "margin"])
+        settle()
 
     return score
 

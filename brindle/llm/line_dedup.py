@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components, members, open_pairs, stars
-from .shared import cut, long_lists, map_batches, maybe_in, release, replaced, table
+from .shared import cut, long_lists, map_batches, maybe_in, release, replaced, settle, table
 from .textvec import U64, Chars, chunks, counted, mix, signed
 
 SHINGLE = 7
@@ -177,10 +177,11 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     gone = removed_lines(docs, threshold).groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.collect_set("line_no").alias("__lines"))
 
-    @F.pandas_udf("string")
-    def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def rest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lines in batches:
-            yield pd.Series([None if out is None else _without(t, out) for t, out in zip(texts, lines)], dtype=object)
+            yield pa.array([None if out is None else _without(t, out) for t, out in zip(texts.to_pylist(), lines.to_pylist())], type=pa.string())
+        settle()
 
     joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
     marked = joined.withColumn("__rest", rest(F.when(F.col("__lines").isNotNull(), F.col("text")), "__lines"))

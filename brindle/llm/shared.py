@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: An Arrow batch is worked off in pieces of about so many bytes, which bounds the Python objects made of it at once.
+PIECE = 4_000_000
+
+
+def pieces(batch):
+    """Slices of a record batch or an array."""
+    n = batch.num_rows if isinstance(batch, pa.RecordBatch) else len(batch)
+    step = max(1, int(n * PIECE / max(batch.nbytes, 1)))
+    for i in range(0, n, step):
+        yield batch.slice(i, step)
+
+
+def settle() -> None:
+    """Give memory that a worker has freed back to the system; workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it has its own ways
+        pass
+
+
 def map_batches(df: DataFrame, columns: list, schema: str | T.StructType, make: Callable[[], Callable[..., dict | None]]) -> DataFrame:
     """Arrow-batched map: `make()` runs once in each task and returns a function of the columns' Python lists.
 
@@ -60,10 +82,13 @@ def map_batches(df: DataFrame, columns: list, schema: str | T.StructType, make:
         arrow = to_arrow_schema(schema)
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                out = f(*(c.to_pylist() for c in batch.columns))
+            for piece in pieces(batch):
+                out = f(*(c.to_pylist() for c in piece.columns))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(k).type) for k, x in zip(names, (out[k] for k in names))], schema=arrow)
+                    del out
+        del f
+        settle()
 
     return df.select(*columns).mapInArrow(run, schema)
 
