@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index of every training shard.
 
-A shard is one Arrow batch of documents. Test items are cut into phrases of
+A shard is a piece of an Arrow batch of documents. Test items are cut into phrases of
 PHRASE consecutive words (a shorter item is one phrase); each is looked for in
 the shard by backward search and its occurrences are located from the sampled
 suffix positions. The words of all occurrences are united to removal spans.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import map_batches, replaced, settle, table
+from .shared import map_batches, pieces, replaced, settle, table
 from .textvec import Chars, chunks
 
 PHRASE = 8
@@ -164,11 +164,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, sh
     def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sets = [b.value for b in sent]
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([without(t, s) if s else None for t, s in zip(texts, spans(sets, texts))], type=pa.string())
+            out: list[str | None] = []
+            for shard in pieces(batch):
+                texts = shard.to_pylist()
+                out += [without(t, s) if s else None for t, s in zip(texts, spans(sets, texts))]
+            yield pa.array(out, type=pa.string())
         settle()
 
-    marked = docs.withColumn("__clean", cleaned("text"))
+    # as if not deterministic, so that the filter isn't moved below it and the search made twice
+    marked = docs.withColumn("__clean", cleaned.asNondeterministic()("text"))
     left = marked.where("__clean is null or __clean rlike '[^\\\\W_]'")
     new = F.coalesce("__clean", "text")
     columns = {"text": new} | ({"n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})

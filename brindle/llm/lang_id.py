@@ -323,7 +323,7 @@ def scorer(spark: SparkSession, models: Models):
             yield pa.StructArray.from_arrays(columns, ["lang", "cross_entropy", "margin"])
         settle()
 
-    return score
+    return score.asNondeterministic()  # as if, so that no filter is moved below it and the text scored twice
 
 
 def limits(scores: DataFrame, accepted: float = ACCEPTED) -> dict[str, tuple[float, float]]:
@@ -357,7 +357,7 @@ def keep_identified(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
     """The accepted documents, as they are. Two passes score the text, so that it is never shuffled or written again."""
     score = scorer(docs.sparkSession, train(docs))
     found = limits(docs.select(F.col("lang").alias("label"), score("text").alias("s")).select("label", "s.*"), accepted)
-    return docs.where(accepts(score("text"), found))
+    return docs.withColumn("__score", score("text")).where(accepts(F.col("__score"), found)).drop("__score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

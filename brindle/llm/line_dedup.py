@@ -184,7 +184,8 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         settle()
 
     joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
-    marked = joined.withColumn("__rest", rest(F.when(F.col("__lines").isNotNull(), F.col("text")), "__lines"))
+    # as if not deterministic, so that the filter isn't moved below it and the lines cut twice
+    marked = joined.withColumn("__rest", rest.asNondeterministic()(F.when(F.col("__lines").isNotNull(), F.col("text")), "__lines"))
     left = marked.where("__rest is null or __rest rlike '[\\\\p{L}\\\\p{N}]'")
     columns = {"text": F.coalesce("__rest", "text")} | ({"n_chars": F.when(F.col("__rest").isNull(), F.col("n_chars")).otherwise(F.length("__rest").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return replaced(left, columns).select(*[f"`{c}`" for c in docs.columns])
