@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, map_batches, pieces, settle, table
@@ -26,8 +26,8 @@ from .textvec import U64, Chars, mix, tables
 ORDER = 5
 BITS = 11
 ALPHABET = (1 << BITS) - 2
-#: At most so many 5-grams are kept for a language, the most frequent ones; this bounds the broadcast model.
-MAX_GRAMS = 200_000
+#: All 5-grams are kept. A slice of the models holds about so many of them, of all languages; a task has one slice in memory at a time.
+SLICE_GRAMS = 1_500_000
 #: Up to so many probabilities (5-grams times languages), a task joins the models' 5-grams in one array; beyond, it asks each model.
 JOINT = 20_000_000
 #: Of the documents that get the language they are labelled with, so large a share is accepted.
@@ -132,21 +132,67 @@ def _ranked(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alphabet, rank[points]
 
 
+def _shorter(packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-grams at the end of distinct (k+1)-grams; each counts once for each character seen before it."""
+    g, n = np.unique(packed & U64((1 << (k * BITS)) - 1), return_counts=True)
+    return g.astype(U64), n.astype(np.float64)
+
+
+class Whole:
+    """What the slices of a language's 5-grams tell only together: the discounts, and the counts of 1-grams and 2-grams.
+
+    A slice holds all 5-grams with the same third and fourth character, and so
+    all that makes the counts and contexts of its 3-grams and 4-grams.
+    """
+
+    def __init__(self):
+        self.once, self.twice = np.zeros(ORDER + 1), np.zeros(ORDER + 1)
+        self.low: dict[int, tuple[np.ndarray, np.ndarray]] = {2: (np.zeros(0, dtype=U64), np.zeros(0))}
+
+    @staticmethod
+    def high(packed: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(k-grams, counts) of a slice for the orders from 3 on."""
+        levels = {ORDER: (packed, counts.astype(np.float64))}
+        for k in range(ORDER - 1, 2, -1):
+            levels[k] = _shorter(levels[k + 1][0], k)
+        return levels
+
+    def _note(self, k: int, counts: np.ndarray) -> None:
+        self.once[k] += np.sum(counts == 1)
+        self.twice[k] += np.sum(counts == 2)
+
+    def add(self, packed: np.ndarray, counts: np.ndarray) -> Whole:
+        levels = self.high(packed, counts)
+        for k, (_, n) in levels.items():
+            self._note(k, n)
+        pairs, n = (np.concatenate(x) for x in zip(self.low[2], _shorter(levels[3][0], 2)))
+        g, of = np.unique(pairs, return_inverse=True)
+        self.low[2] = g, np.bincount(of, weights=n, minlength=len(g))
+        return self
+
+    def close(self) -> Whole:
+        self.low[1] = _shorter(self.low[2][0], 1)
+        for k in (1, 2):
+            self._note(k, self.low[k][1])
+        return self
+
+    def discount(self, k: int) -> float:
+        n1, n2 = self.once[k], self.twice[k]
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
 class Model:
-    """Kneser-Ney probabilities of one language in sorted hash arrays."""
+    """Kneser-Ney probabilities of one language, or of a slice of it, in sorted hash arrays."""
 
-    def __init__(self, packed: np.ndarray, counts: np.ndarray):
+    def __init__(self, packed: np.ndarray, counts: np.ndarray, whole: Whole | None = None):
         self.grams: list[tuple[np.ndarray, np.ndarray]] = [None] * (ORDER + 1)  # by order: hashes, log2 of probability
         self.backs: list[tuple[np.ndarray, np.ndarray]] = [None] * (ORDER + 1)  # by order of the context: hashes, log2 of weight
-        levels = {ORDER: (packed, counts.astype(np.float64))}
-        for k in range(ORDER - 1, 0, -1):  # below the highest order, a gram counts once for each character seen before it
-            longer = levels[k + 1][0] & U64((1 << (k * BITS)) - 1)
-            levels[k] = tuple(x.astype(t) for x, t in zip(np.unique(longer, return_counts=True), (U64, np.float64)))
+        whole = whole or Whole().add(packed, counts).close()
+        levels = Whole.high(packed, counts) | whole.low
         lower_p = None
         for k in range(1, ORDER + 1):
             g, c = levels[k]
-            n1, n2 = np.sum(c == 1), np.sum(c == 2)
-            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            discount = whole.discount(k)
             context = g >> U64(BITS)
             ctx, of = np.unique(context, return_inverse=True)
             total, kinds = np.bincount(of, weights=c), np.bincount(of)
@@ -180,41 +226,42 @@ def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _find(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, values = pair
+    if not len(hashes):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.float32)
     h = mix(keys)
     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
     return hashes[at] == h, values[at]
 
 
-class Models:
-    """The models of all languages over one alphabet.
+class Slice:
+    """The models of all languages over the 5-grams of a slice.
 
-    What is sent to the tasks are the counted 5-grams; a worker makes the models
-    from them when it first needs them.
+    A slice that is the only one is sent as the counted 5-grams; a worker makes
+    the models from them when it first needs them, and keeps them. One of
+    several is sent as its models.
     """
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, of: np.ndarray, packed: np.ndarray, n: np.ndarray):
-        self.langs, self.alphabet, self.counts = langs, alphabet, (of, packed, n)
-        self.sent = False
+    def __init__(self, wholes: list[Whole], of: np.ndarray, packed: np.ndarray, n: np.ndarray, only: bool):
+        self.wholes, self.counts, self.only = wholes, (of, packed, n), only
         self.models: list[Model] = []
+        self.joint: tuple[np.ndarray, np.ndarray] | None = None
+        if not only:
+            self._make()
 
-    def __getstate__(self) -> tuple:
-        return self.langs, self.alphabet, *self.counts
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
-        self.sent = True
-
-    def ready(self) -> None:
-        if self.models or not self.langs:
-            return
-        self.rank = ranks(self.alphabet)
+    def _make(self) -> None:
         of, packed, n = self.counts
-        for k in range(len(self.langs)):
+        for k, whole in enumerate(self.wholes):
             own = of == k
             order = np.argsort(packed[own])
-            self.models.append(Model(packed[own][order], n[own][order]))
-        self.known = np.unique(packed)
-        self._joint: tuple[np.ndarray, np.ndarray] | None = None
+            self.models.append(Model(packed[own][order], n[own][order], whole))
+        known = np.unique(packed) if self.only else packed[:0]
+        self.wholes, self.counts = [None] * len(self.wholes), None
+        if known.size * len(self.models) > JOINT:
+            known = known[:0]
+        values = np.column_stack([m.log2(known) for m in self.models]).astype(np.float32)
+        h = mix(known)
+        order = np.argsort(h)
+        self.joint = h[order], values[order]
 
     def log2(self, packed: np.ndarray) -> np.ndarray:
         """A column for each language: log2 of the probability of each packed 5-gram's last character.
@@ -223,16 +270,10 @@ class Models:
         which is made where it is used and not sent; the others back off in
         each model.
         """
-        if self._joint is None:
-            known = self.known if self.known.size * len(self.langs) <= JOINT else self.known[:0]
-            values = np.column_stack([m.log2(known) for m in self.models]).astype(np.float32)
-            h = mix(known)
-            order = np.argsort(h)
-            self._joint = h[order], values[order]
-            if self.sent:  # a worker's copy needs neither any more, and keeps its models for long
-                self.known = self.counts = None
-        hashes, values = self._joint
-        out = np.empty((len(packed), len(self.langs)))
+        if self.joint is None:
+            self._make()
+        hashes, values = self.joint
+        out = np.empty((len(packed), len(self.models)))
         there = np.zeros(len(packed), dtype=bool)
         if len(hashes):
             h = mix(packed)
@@ -244,21 +285,48 @@ class Models:
             out[~there] = np.column_stack([m.log2(rest) for m in self.models])
         return out
 
+
+def _pair(packed: np.ndarray) -> np.ndarray:
+    """Third and fourth character of packed 5-grams; they decide the slice."""
+    return (packed >> U64(BITS)) & U64((1 << (2 * BITS)) - 1)
+
+
+class Models:
+    """The models of all languages over one alphabet, in broadcast slices; the k-th holds the pairs of characters from firsts[k] on."""
+
+    def __init__(self, langs: list[str], alphabet: np.ndarray, firsts: np.ndarray, slices: list):
+        self.langs, self.alphabet, self.firsts, self.slices = langs, alphabet, firsts, slices
+        self.rank: np.ndarray | None = None
+
+    def _distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The distinct 5-grams of some texts; for each occurrence its 5-gram's place and its document; the number of texts."""
+        doc, points = characters(texts)
+        doc, packed = grams(doc, self.rank[points], BITS)
+        order = np.sort((packed << U64(63 - ORDER * BITS)) | doc.astype(U64))
+        gram, doc = order >> U64(63 - ORDER * BITS), (order & U64(CHUNK_DOCS - 1)).astype(np.int64)
+        new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=bool)
+        return gram[new], np.cumsum(new) - 1, doc, len(texts)
+
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits per character of each text under each model; NaN for a text without characters."""
-        self.ready()
+        if self.rank is None:
+            self.rank = ranks(self.alphabet)
         parts = [np.zeros((0, len(self.langs)))]
-        for i, j in _chunks(texts):
-            doc, points = characters(texts[i:j])
-            doc, packed = grams(doc, self.rank[points], BITS)
-            order = np.sort((packed << U64(63 - ORDER * BITS)) | doc.astype(U64))
-            gram, doc = order >> U64(63 - ORDER * BITS), (order & U64(CHUNK_DOCS - 1)).astype(np.int64)
-            new = np.concatenate(([True], gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=bool)
-            distinct, of = gram[new], np.cumsum(new) - 1
-            length = np.bincount(doc, minlength=j - i).astype(float)
-            length[length == 0] = np.nan
-            values = self.log2(distinct)
-            parts.append(np.column_stack([-np.bincount(doc, weights=values[of, k], minlength=j - i) / length for k in range(len(self.langs))]))
+        cuts = list(_chunks(texts))
+        for group in [[c] for c in cuts] if len(self.slices) == 1 else [cuts]:
+            made = [self._distinct(texts[i:j]) for i, j in group]
+            found = [np.zeros((len(m[0]), len(self.langs))) for m in made]
+            places = [np.searchsorted(self.firsts, _pair(m[0]), side="right") - 1 for m in made]
+            for k, shared in enumerate(self.slices):
+                for (gram, _, _, _), values, place in zip(made, found, places):
+                    own = np.maximum(place, 0) == k
+                    values[own] = shared.value.log2(gram[own])
+                if len(self.slices) > 1:
+                    shared.__dict__.pop("_value", None)  # it is read again from the local file
+            for (_, of, doc, n), values in zip(made, found):
+                length = np.bincount(doc, minlength=n).astype(float)
+                length[length == 0] = np.nan
+                parts.append(np.column_stack([-np.bincount(doc, weights=values[of, k], minlength=n) / length for k in range(len(self.langs))]))
         return np.concatenate(parts)
 
     def score(self, texts: list) -> dict[str, list]:
@@ -285,8 +353,8 @@ def ranks(alphabet: np.ndarray) -> np.ndarray:
     return rank
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
-    """Models of all languages that label a document. What reaches the driver is at most `max_grams` rows a language."""
+def train(docs: DataFrame) -> Models:
+    """Models of all languages that label a document, over all their 5-grams. What reaches the driver at once is a slice of them."""
     counts = cut(gram_counts(docs))
     rows = counts.groupBy(F.substring("gram", -1, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
     alphabet = np.array([ord(r["c"]) for r in rows], dtype=np.int64)
@@ -303,22 +371,39 @@ def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
 
         return f
 
-    coded = map_batches(counts, ["lang", "gram", "n"], "lang string, gram long, n long", make).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = coded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_grams).drop("r")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    code = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1 if langs else F.lit(0)
-    found = kept.select(code.cast("int").alias("of"), "gram", "n").toArrow()  # columns of numbers; rows of Python objects would fill the driver
-    return Models(langs, alphabet, *(found.column(c).to_numpy().astype(t) for c, t in (("of", np.int32), ("gram", U64), ("n", np.int64))))
-
-
-def scorer(spark: SparkSession, models: Models):
-    shared = spark.sparkContext.broadcast(models)
-
+    if not langs:
+        return Models([], alphabet, np.zeros(0, dtype=U64), [])
+    coded = cut(map_batches(counts, ["lang", "gram", "n"], "lang string, gram long, n long", make).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    pair = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
+    sizes = coded.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("n")).orderBy("pair").toArrow()
+    pairs, n = sizes.column("pair").to_numpy(), sizes.column("n").to_numpy()
+    firsts = pairs[np.unique((np.cumsum(n) - n) // SLICE_GRAMS, return_index=True)[1]]
+    code = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+
+    def rows(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = coded.where(pair >= int(firsts[k])) if k + 1 == len(firsts) else coded.where((pair >= int(firsts[k])) & (pair < int(firsts[k + 1])))
+        found = own.select(code.cast("int").alias("of"), "gram", "n").toArrow()  # columns of numbers; rows of Python objects would fill the driver
+        return tuple(found.column(c).to_numpy().astype(t) for c, t in (("of", np.int32), ("gram", U64), ("n", np.int64)))
+
+    wholes = [Whole() for _ in langs]
+    for k in range(len(firsts)):
+        held = rows(k)
+        for x, whole in enumerate(wholes):
+            own = held[0] == x
+            order = np.argsort(held[1][own])
+            whole.add(held[1][own][order], held[2][own][order])
+    for whole in wholes:
+        whole.close()
+    only = len(firsts) == 1
+    return Models(langs, alphabet, firsts.astype(U64), [docs.sparkSession.sparkContext.broadcast(Slice(wholes, *(held if only else rows(k)), only)) for k in range(len(firsts))])
+
+
+def scorer(models: Models):
     @F.arrow_udf(SCORE)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [shared.value.score(texts.to_pylist()) for texts in pieces(batch)]
+            parts = [models.score(texts.to_pylist()) for texts in pieces(batch)]
             columns = [pa.array([x for p in parts for x in p[name]], type=kind) for name, kind in (("lang", pa.string()), ("cross_entropy", pa.float64()), ("margin", pa.float64()))]
             yield pa.StructArray.from_arrays(columns, ["lang", "cross_entropy", "margin"])
         settle()
@@ -347,7 +432,7 @@ def identify(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
     out of training and calibration; a null doc_id is carried along; repeated
     rows are scored one by one. Without any labelled document all are rejected.
     """
-    score = scorer(docs.sparkSession, train(docs))
+    score = scorer(train(docs))
     scores = cut(docs.select("doc_id", F.col("lang").alias("label"), score("text").alias("s")).select("doc_id", "label", "s.*"))
     found = limits(scores, accepted)
     return scores.where(accepts(F.struct("lang", "cross_entropy", "margin"), found)).drop("label")
@@ -355,7 +440,7 @@ def identify(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
 
 def keep_identified(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
     """The accepted documents, as they are. Two passes score the text, so that it is never shuffled or written again."""
-    score = scorer(docs.sparkSession, train(docs))
+    score = scorer(train(docs))
     found = limits(docs.select(F.col("lang").alias("label"), score("text").alias("s")).select("label", "s.*"), accepted)
     return docs.withColumn("__score", score("text")).where(accepts(F.col("__score"), found)).drop("__score")
 

@@ -75,3 +75,26 @@ def test_frame(spark, small):
     assert kept.columns == made.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in found)
     assert lang_id.identify(empty(spark)).count() == 0 and lang_id.keep_identified(empty(spark)).count() == 0
     assert lang_id.identify(made.where("lang is null")).count() == 0
+
+
+def test_every_gram_counts(spark, monkeypatch):
+    """More distinct 5-grams than any cap there was, most of them seen once: the probabilities are those of the formulas, in one slice and in many."""
+    five = lambda t: [tuple(("\1\1\1\1 " + t)[i : i + lang_id.ORDER]) for i in range(1, len(t) + 1)]
+    draw = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = ["".join(letters[draw.integers(0, 26, 1500)]) for _ in range(160)]
+    docs = frame(spark, [*[(i, t, "xx", "s") for i, t in enumerate(texts)], (999, "only a few words", "yy", "s")])
+    counts = Counter(g for t in texts for g in five(t))
+    assert len(counts) > 200_000
+    plain = Plain(counts)
+    asked = [texts[3][:60], texts[140][700:800], "never seen before"]
+    want = [-np.mean([math.log2(plain.p(g)) for g in five(t)]) for t in asked]
+    whole = lang_id.train(docs)
+    assert np.allclose(whole.entropies(asked)[:, 0], want, rtol=1e-4)
+    monkeypatch.setattr(lang_id, "SLICE_GRAMS", 50_000)
+    sliced = lang_id.train(docs)
+    assert len(sliced.slices) > 3 and np.allclose(sliced.entropies(asked), whole.entropies(asked), rtol=1e-5)
+    found = {r.doc_id: r.cross_entropy for r in lang_id.identify(docs).collect()}
+    monkeypatch.undo()
+    again = lang_id.identify(docs).collect()
+    assert len(again) == len(found) > 0 and np.allclose([found[r.doc_id] for r in again], [r.cross_entropy for r in again], rtol=1e-5)
