@@ -42,6 +42,13 @@ _TOKEN = re.compile(
 )
 _ASSIGN = frozenset((":=", "=>", "=", "?=", "??=", "||=", ":", "+="))
 _BARE = re.compile(r"(?:\$\{[\w.]+\}|[^\s,;\"'`(){}\[\]<>])+")
+#: Before the name of a pair that a line of .env, INI, YAML or HTTP headers holds, and the rest of the line up to a comment.
+_LINE_HEAD = re.compile(r"[^\S\n]*(?:export\s+|set\s+|-\s+)?$", re.I)
+_LINE_REST = re.compile(r"[^\S\n]*(?P<value>[^\s#].*?)[,;]?[^\S\n]*(?:\s[#;].*)?$", re.M)
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token|apikey|digest|negotiate)[^\S\n]+(?=\S+$)")
+#: Words of prose, which a passphrase in a line doesn't hold; and how many words it has.
+_PROSE = frozenset("a an and are as at be been but by can der die das do for from has have if in is it le la les must not of on or shall should that the this to was will with you your und un una el est et".split())
+PHRASE_WORDS = range(3, 13)
 _INSERT = re.compile(r"\$\{(\w[\w.]*)\}|\$\((\w[\w.]*)\)|(?<![\w$])\{(\w[\w.]*)\}|\$(\w+)")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+")
 
@@ -50,6 +57,7 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+")
 class Literal:
     value: str
     places: list[tuple[int, int]] = field(default_factory=list)
+    line: bool = False
 
 
 def name_parts(name: str) -> list[str]:
@@ -84,10 +92,15 @@ def literal_score(value: str) -> float:
     return mixed + dense + long
 
 
-def score(name: str, value: str) -> float:
-    """Of a pair, 0 to 1.2; a known format is a secret under any name."""
+def passphrase(value: str) -> bool:
+    words = value.lower().split()
+    return len(words) in PHRASE_WORDS and len(value) >= 16 and all(w.isalpha() for w in words) and not _PROSE & set(words)
+
+
+def score(name: str, value: str, line: bool = False) -> float:
+    """Of a pair, 0 to 1.2; a known format is a secret under any name, a passphrase in a line under that of a secret."""
     own = name_score(name)
-    look = literal_score(value)
+    look = 0.1 if line and own >= 0.6 and passphrase(value) else literal_score(value)
     if look < LEAST_LOOK:
         return 0.0
     return own + look if own else (0.6 if _KNOWN.match(value) else 0.0)
@@ -140,7 +153,7 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
         if name is None or at >= n:
             i += 1
             continue
-        found, to = _value(text, tokens, at, known)
+        found, to = _line(text, tokens, i, at, name, known) or _value(text, tokens, at, known)
         if found is None:
             i += 1 if to <= i else max(to, i + 1) if to > at else at
             continue
@@ -154,6 +167,35 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
     return out
 
 
+def _line(text: str, tokens: list, i: int, at: int, name: str, known: dict[str, Literal]) -> tuple[Literal, int] | None:
+    """The bare value up to the end of the line or a comment, without a scheme word, and the token after it; None where that is no line of a configuration or no secret."""
+    kind, word, start, end = tokens[i]
+    if kind != "name" or at != i + 2 or tokens[i + 1][1] not in ("=", ":") or not name_score(name):
+        return None
+    if not _LINE_HEAD.match(text, text.rfind("\n", 0, start) + 1, start):
+        return None
+    op = tokens[i + 1][3]
+    found = _LINE_REST.match(text, op)
+    if not found or not found["value"]:
+        return None
+    value, begin = found["value"], found.start("value")
+    if scheme := _SCHEME.match(value):
+        value, begin = value[scheme.end() :], begin + scheme.end()
+    blank = bool(re.search(r"\s", value))
+    env = tokens[i + 1][1] == "=" and word.isupper() and tokens[i + 1][2] == end and begin == op and not blank
+    if value[0] in "\"'`$" or "${" in value or value in known or blank and not passphrase(value):
+        return None
+    if not env and (value[0] in "([{<&*|>!" or re.match(r"[\w.:>-]+[(\[<]", value) or set("\"'`") & set(value)):  # code: a call, an index, a type, a literal
+        return None
+    literal = Literal(value, [(begin, begin + len(value))], True)
+    if score(name, value, True) < THRESHOLD:
+        return None
+    to = at
+    while to < len(tokens) and tokens[to][2] < begin + len(value):
+        to += 1
+    return literal, to
+
+
 def _value(text: str, tokens: list, at: int, known: dict[str, Literal]) -> tuple[Literal | None, int]:
     """The value that starts at a token, and the token after it."""
     value, places, i, n = "", [], at, len(tokens)
@@ -212,7 +254,7 @@ def secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str
     """(start, end, name, score) of every literal that is, or is part of, a secret; ascending and disjoint."""
     found: dict[tuple[int, int], tuple[str, float]] = {}
     for name, literal in pairs(text):
-        s = score(name, literal.value)
+        s = score(name, literal.value, literal.line)
         if s >= threshold:
             for place in literal.places:
                 if place not in found or found[place][1] < s:
