@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Iterator
+
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ _LOCAL_PHONE = re.compile(r"(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\w-])")
 _CUED_PHONE = re.compile(r"\(?\d{1,5}\)?(?:[ ./-]?\d{2,5}){1,5}(?!\w)")
 _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\w]|-\d)")
-_ISSUER = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3[0689]|35|6011|64[4-9]|65|62")
+#: Lengths of the numbers of each issuer.
+_LENGTHS = ((re.compile(r"4"), (13, 16, 19)), (re.compile(r"5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)"), (16,)), (re.compile(r"3[47]"), (15,)), (re.compile(r"3[0689]"), range(14, 20)), (re.compile(r"35|6011|64[4-9]|65|62"), range(16, 20)))
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
 _ACCOUNT = re.compile(r"\d(?:[ -]?\d){5,19}(?![\w]|-\d)")
 _USERINFO = re.compile(r"([^\s/@:]+):([^\s/@]+)@([\w.-]+)")
@@ -72,6 +75,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _ends(run: str) -> Iterator[int]:
+    """Where a number in groups may end, longest first: at the end of the run and before each of its blanks and hyphens."""
+    yield len(run)
+    yield from (k for k in range(len(run) - 1, 0, -1) if run[k] in " -")
+
+
+def card(digits: str) -> bool:
+    return any(n.match(digits) and len(digits) in lengths for n, lengths in _LENGTHS) and luhn(digits)
+
+
 def _plain_digit(c: str) -> bool:
     return "0" <= c <= "9"
 
@@ -106,8 +119,10 @@ def number(text: str, at: int, account_cue: int, phone_cue: int) -> tuple[Span |
         end += 1
     before = text[start - 1] if start else " "
     if start < at or not all(map(_plain_digit, text[start:end])):
-        if (found := _IBAN.match(text, start)) and mod97(iban := found[0].replace(" ", "")) and len(iban) >= 15:
-            return (start, found.end(), "iban"), found.end()
+        if found := _IBAN.match(text, start):
+            for size in _ends(found[0]):
+                if len(iban := found[0][:size].replace(" ", "")) >= 15 and mod97(iban):
+                    return (start, start + size, "iban"), start + size
         return _ipv6(text, start, end)
     if text[end : end + 1] == ":" or before == ":":
         span, to = _ipv6(text, start, end)
@@ -128,9 +143,9 @@ def number(text: str, at: int, account_cue: int, phone_cue: int) -> tuple[Span |
     if (found := _LOCAL_PHONE.match(text, opened)) and (opened == start or found[0][0] == "("):
         return (opened, found.end(), "phone"), found.end()
     if found := _CARD.match(text, start):
-        digits = _digits(found[0])
-        if _ISSUER.match(digits) and luhn(digits):
-            return (start, found.end(), "card"), found.end()
+        for size in _ends(found[0]):
+            if card(_digits(found[0][:size])):
+                return (start, start + size, "card"), start + size
     if 0 <= start - phone_cue <= CUE_REACH and (found := _CUED_PHONE.match(text, opened)) and 7 <= len(_digits(found[0])) <= 15:
         return (opened, found.end(), "phone"), found.end()
     if 0 <= start - account_cue <= CUE_REACH and (found := _ACCOUNT.match(text, start)):

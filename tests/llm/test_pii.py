@@ -54,3 +54,16 @@ def test_all_planted(spark, small):
         kinds = [s.kind for s in found[d.doc_id].spans] if d.doc_id in found else []
         assert kinds.count("email") == len(re.findall(r"\w+\.\d+@\w+\.example\.com", d.text, re.I))
         assert kinds.count("phone") == len(re.findall(r"\+1 \(\d{3}\) 555-\d{4}", d.text))
+
+
+def test_number_behind_a_number():
+    cases = {
+        "4111 1111 1111 1111 12/25": [("4111 1111 1111 1111", "card")],
+        "4532015112830366 123": [("4532015112830366", "card")],
+        "5500-0000-0000-0004 99 3782 822463 10005 1234": [("5500-0000-0000-0004", "card"), ("3782 822463 10005", "card")],
+        "AT61 1904 3002 3457 3201 BIC 7": [("AT61 1904 3002 3457 3201", "iban")],
+        "AT61 1904 3002 3457 3202 BIC 7": [],
+        "4111 1111 1111 1112 12/25": [],
+    }
+    for text, expected in cases.items():
+        assert [(text[a:b], k) for a, b, k in pii.spans(text, pii.automaton())] == expected, text
