@@ -173,7 +173,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, sh
 
     # as if not deterministic, so that the filter isn't moved below it and the search made twice
     marked = docs.withColumn("__clean", cleaned.asNondeterministic()("text"))
-    left = marked.where("__clean is null or __clean rlike '[^\\\\W_]'")
+    left = marked.where("__clean is null or __clean rlike '[\\\\p{L}\\\\p{N}]'")
     new = F.coalesce("__clean", "text")
     columns = {"text": new} | ({"n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return replaced(left, columns).select(*[f"`{c}`" for c in docs.columns])

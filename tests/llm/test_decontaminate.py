@@ -68,3 +68,9 @@ def test_benchmark_passages_in_the_documents(spark, small):
     items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in decontaminate.query(spark, small).collect()}
     assert found == {d.doc_id: s for d in docs if (s := brute(d.text, items))}
+
+
+def test_rest_in_any_script_stays(spark):
+    rests = ["чистый текст", "καθαρό κείμενο", "نص نظيف", "干净的文字", "٣٤", "clean"]
+    docs = frame(spark, [*[(i, f"{t} {ITEMS[0]}", "xx", "s") for i, t in enumerate(rests)], (50, f"… {ITEMS[0]} — _", "xx", "s")])
+    assert {r.doc_id: r.text.strip() for r in decontaminate.remove_leaks(docs, bench(spark, ITEMS)).collect()} == dict(enumerate(rests))
