@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, discard, release
 
 
 class UnionFind:
@@ -55,16 +55,19 @@ def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([found.find(x) for x in nodes], pa.int64())], names=["a", "b"])
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with the least neighbour m of a; it is aggregated before the shuffle, and the join may split a node of many edges."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = F.least(F.min("b").over(Window.partitionBy("a")), "a")
-    return both.select("a", "b", low.alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     up = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    low = F.min("b").over(Window.partitionBy("a"))
-    hung = up.select("a", "b", low.alias("m"))
+    hung = _with_least(up)
     return hung.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
 
 
@@ -80,7 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(forest.mapInArrow(_local_forest, "a long, b long").distinct())
     before = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, cut(_small_star(_large_star(now)))
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(edges.sparkSession)
         if state == before:
@@ -90,13 +94,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def star_edges(buckets: DataFrame, key: str, node: str) -> DataFrame:
-    """Distinct (a, b): each node of a bucket and the bucket's smallest node. One shuffle; linear in the bucket's size."""
-    low = F.min(node).over(Window.partitionBy(key))
-    return buckets.select(F.col(node).alias("a"), low.alias("b")).where("a != b").distinct()
+    """Distinct (a, b): each node of a bucket and the bucket's smallest node. Linear in the bucket's size.
+
+    The smallest node is aggregated before the shuffle, so that a bucket of very
+    many nodes is collected nowhere; only buckets of several nodes are joined.
+    """
+    several = buckets.groupBy(F.col(key).alias("k")).agg(F.min(node).alias("lo"), F.max(node).alias("hi")).where("lo != hi").select("k", "lo")
+    return buckets.select(F.col(key).alias("k"), F.col(node).alias("a")).join(several, "k").where("a != lo").select("a", F.col("lo").alias("b")).distinct()
 
 
 def stars(buckets: DataFrame, key: str, node: str) -> DataFrame:
-    """(k, a, b) of every bucket with several nodes: each other node a and the smallest node b. One shuffle, one row a node."""
+    """(k, a, b) of every bucket with several nodes: each other node a and the smallest node b. One shuffle, one row a node; a bucket is one task's."""
     low = F.min(node).over(Window.partitionBy(key))
     return buckets.select(F.col(key).alias("k"), F.col(node).alias("a"), low.alias("b")).where("a != b")
 
@@ -113,10 +121,8 @@ def open_pairs(buckets: DataFrame, key: str, node: str, roots: DataFrame, tried:
     still change a component: pairs within one component need no check.
     """
     labelled = buckets.join(roots, buckets[node] == roots["node"], "left").select(F.col(key).alias("k"), F.col(node).alias("n"), F.coalesce("root", node).alias("r"))
-    w = Window.partitionBy("k")
-    mixed = labelled.withColumns({"lo": F.min("r").over(w), "hi": F.max("r").over(w)}).where("lo != hi").select("k", "n", "r")
-    x, y = mixed.alias("x"), mixed.alias("y")
+    mixed = labelled.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo != hi").select("k")
+    few = labelled.join(mixed, "k")
+    x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.n") > F.col("y.n")) & (F.col("x.r") != F.col("y.r"))).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
-
-

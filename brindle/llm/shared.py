@@ -7,8 +7,9 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a result of `cut` that no plan will read any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles and checkpoints nothing refers to any more."""
+    """Let Spark's cleaner see which shuffles nothing refers to any more, and which checkpoints where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -120,16 +129,46 @@ def bounded(df: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
 
 
-def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
-    """The rows whose bigint column may be among the keys: all that are, and few others while there are fewer than 2**bits keys.
+def _marked(rows: DataFrame, value: Column, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """rows with __maybe: whether the bigint value may be among the keys.
 
     A bitmap of 2**bits positions, as at most 2**(bits - 6) words, is broadcast
-    whatever the number of keys; it spares a later join the shuffle of most rows
-    that have no partner.
+    whatever the number of keys.
     """
     place = lambda c: F.xxhash64(F.lit(7), c).bitwiseAND(F.lit((1 << bits) - 1))
     word = lambda p: F.shiftright(p, 6)
     words = keys.select(place(F.col(key)).alias("__p")).groupBy(word(F.col("__p")).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p & 63 as int))")).alias("__bits"))
-    placed = rows.withColumn("__p", place(F.col(column)))
-    hit = placed.join(F.broadcast(words), word(F.col("__p")) == F.col("__word"))
-    return hit.where("__bits & shiftleft(1L, cast(__p & 63 as int)) != 0").select(*[f"`{c}`" for c in rows.columns])
+    placed = rows.withColumn("__p", place(value))
+    hit = placed.join(F.broadcast(words), word(F.col("__p")) == F.col("__word"), "left")
+    return hit.select(*[f"`{c}`" for c in rows.columns], F.expr("coalesce(__bits & shiftleft(1L, cast(__p & 63 as int)), 0) != 0").alias("__maybe"))
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows whose bigint column may be among the keys: all that are, and few others while there are fewer than 2**bits keys. It spares a later join the shuffle of most rows that have no partner."""
+    return _marked(rows, F.col(column), keys, key, bits).where("__maybe").drop("__maybe")
+
+
+def parted(rows: DataFrame, value: Column, keys: DataFrame, key: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The rows whose bigint value may be among the keys, and the others, which need no join; each is a pass over the rows."""
+    marked = _marked(rows, value, keys, key, bits)
+    return marked.where("__maybe").drop("__maybe"), marked.where("not __maybe").drop("__maybe")
+
+
+def bitmap(keys: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for workers that tells of 64-bit hashes which may be among the keys: all that are, and some others.
+
+    The bitmap has 8 positions or more for each key, but at most 2**27 in all
+    (16 MB); with more keys than it has room for it lets more others through.
+    """
+    bits = min(27, max(16, (8 * keys.count() - 1).bit_length()))
+    place = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    made = np.zeros(1 << (bits - 6), dtype=np.int64)
+    made[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(made)
+
+    def among(hashes: np.ndarray) -> np.ndarray:
+        p = hashes & ((1 << bits) - 1)
+        return (sent.value[p >> 6] >> (p & 63)) & 1 == 1
+
+    return among

@@ -21,9 +21,12 @@ _SIZE = 0x110000
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64; a bijection of 64-bit words."""
     x = x + U64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def signed(x: np.ndarray) -> np.ndarray:

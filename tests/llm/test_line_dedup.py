@@ -64,7 +64,11 @@ def test_jaccards_are_exact():
     draw = random.Random(1)
     lines = [prose(k, draw.randint(1, 12)) for k in range(40)] + ["a", "ab", "ÄÖ ü straße", "x" * 5000]
     a, b = [draw.choice(lines) for _ in range(200)], [draw.choice(lines) for _ in range(200)]
-    assert np.allclose(line_dedup.jaccards(a, b), [jaccard(shingles(x), shingles(y)) for x, y in zip(a, b)])
+    number = {x: k for k, x in enumerate(lines)}
+    pairs = np.array([number[x] for x in a]), np.array([number[x] for x in b])
+    want = np.array([jaccard(shingles(x), shingles(y)) for x, y in zip(a, b)])
+    assert np.allclose(line_dedup.jaccards(*pairs, *line_dedup.sets(lines)), want)
+    assert ((line_dedup.jaccards(*pairs, *line_dedup.sets(lines), 0.75) >= 0.75) == (want >= 0.75)).all()
 
 
 def test_bands_recall():
@@ -82,6 +86,45 @@ def test_bands_recall():
     assert n > 50 and hit / n >= 0.95
 
 
+def test_split_buckets_stay_together():
+    """Lines that share a band key still share one, or reach one another by way of the bucket's smallest line."""
+    draw = np.random.default_rng(0)
+    h = draw.integers(-(1 << 62), 1 << 62, 300)
+    keys = draw.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    keys[:200, 1] = keys[0, 1]
+    keys[250:260, 2] = keys[250, 2]
+    parts = [set(x) for x in line_dedup.split(h, keys, 16).to_pylist()]
+    least = int(np.argmin(h[:200]))
+    assert all(parts[k] & parts[least] for k in range(200)) and len(parts[least]) == 5 and all(len(p) == 4 for k, p in enumerate(parts) if k != least)
+    assert len({x for p in parts[:200] for x in p if (x ^ int(keys[0, 1].astype(np.int64))) & ~line_dedup.PART == 0}) == 2
+    assert set.intersection(*parts[250:260]) and not parts[250] & parts[0]
+
+
+def test_hot_buckets_against_all_pairs(spark, monkeypatch):
+    """With buckets split from two lines on and forgetful tasks, the result is the same."""
+    docs = frame(spark, corpus())
+    whole = sorted(line_dedup.removed_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "MET", 3)
+    made = line_dedup.split
+    monkeypatch.setattr(line_dedup, "split", lambda h, keys: made(h, keys, 2))
+    assert sorted(line_dedup.removed_lines(docs).collect()) == whole
+
+
+def test_lines_that_share_one_hash_only(spark, monkeypatch):
+    """A collision of the first 64 bits deletes no unequal line."""
+    made = line_dedup.digests
+
+    def collide(lines):
+        out = made(lines).copy()
+        out[[k for k, x in enumerate(lines) if x.startswith("same ")], 0] = 77
+        return out
+
+    monkeypatch.setattr(line_dedup, "digests", collide)
+    docs = frame(spark, [(1, "same first line of these words", "en", "s"), (2, "same quite another text, unlike it", "en", "s"), (3, "same first line of these words", "en", "s")])
+    assert [(r.doc, r.line_no) for r in line_dedup.removed_lines(docs).collect()] == [(3, 0)]
+
+
 def test_against_all_pairs(spark):
     rows = corpus()
     texts = {i: t for i, t, _, _ in rows}
