@@ -9,16 +9,19 @@ for which ProbMinHash (Ertl, 2020) has signatures: every shingle emits a Poisson
 process of arrivals at the rate of its weight, each arrival falls on a random
 register, and a register keeps the shingle of its earliest arrival. A shingle
 stops as soon as its next arrival is later than all registers of the document.
+
+A document is identified by its doc_id and the hash of its text, and equal
+weighted sets by 128 bits of a hash; all documents of a set are one node.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, open_pairs, star_edges
-from .shared import cut, long_lists, map_batches, release, table
+from .shared import cut, long_lists, map_batches, maybe_in, parted, release, table
 from .textvec import U64, Chars, chunks, counted, mix, shingles, signed
 
 SHINGLE = 3
@@ -83,10 +86,10 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, seed: int) -> DataFrame:
-    """(id, k1, k2, bands) of every document that has an id and a word; k1 and k2 identify the weighted set."""
+    """(id, version, k1, k2, bands) of every row that has an id and a word; k1 and k2 identify the weighted set, version the text."""
 
     def make():
-        def f(ids: list, texts: list) -> dict:
+        def f(ids: list, versions: list, texts: list) -> dict | None:
             keys, bands = [], []
             for i, j in chunks(texts):
                 doc, item, weight = weighted(texts[i:j])
@@ -106,12 +109,12 @@ def sketches(docs: DataFrame, seed: int) -> DataFrame:
             some = keys[:, 2] == 1
             if not some.any():
                 return None
-            return {"id": np.array(ids, dtype=np.int64)[some], "k1": signed(keys[some, 0].copy()), "k2": signed(keys[some, 1].copy()), "bands": long_lists(signed(np.ascontiguousarray(bands[some])))}
+            return {"id": np.array(ids, dtype=np.int64)[some], "version": np.array(versions, dtype=np.int64)[some], "k1": signed(keys[some, 0].copy()), "k2": signed(keys[some, 1].copy()), "bands": long_lists(signed(np.ascontiguousarray(bands[some])))}
 
         return f
 
     rows = docs.where("doc_id is not null and text is not null and text != ''")
-    return map_batches(rows, [F.col("doc_id").cast("long"), "text"], "id long, k1 long, k2 long, bands array<long>", make)
+    return map_batches(rows, [F.col("doc_id").cast("long"), F.xxhash64("text"), "text"], "id long, version long, k1 long, k2 long, bands array<long>", make)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -141,6 +144,37 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both, ["a", "ta", "b", "tb"], "a long, b long", make)
 
 
+def copies(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, version, kept_id, kept_version) of every document that another one stands for; (id, version) of those that several rows hold."""
+    spark = docs.sparkSession
+    found = cut(sketches(docs, seed))
+    least = F.min(F.struct("id", "version"))
+    classes = cut(found.groupBy("k1", "k2").agg(least.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    buckets = classes.select(F.col("k1").alias("n"), F.explode("bands").alias("k"))
+    candidates = cut(star_edges(buckets, "k", "n"))
+    nodes = cut(candidates.select(F.col("a").alias("k1")).union(candidates.select(F.col("b").alias("k1"))).distinct())
+    release(spark)
+    # one text of each set that has a candidate; of sets that share k1 only one is searched for
+    reps = cut(classes.join(nodes, "k1").groupBy("k1").agg(F.min(F.struct("k2", "rep")).alias("x")).select(F.col("k1").alias("node"), "x.k2", F.col("x.rep.id").alias("id"), F.col("x.rep.version").alias("version")))
+    own = docs.where("doc_id is not null and text is not null and text != ''").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("version"), "text")
+    texts = cut(maybe_in(own, "version", reps, "version").join(reps, ["id", "version"]).groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text")))
+    release(spark)
+    edges = cut(verified(candidates, texts, threshold))
+    roots = cut(components(edges))
+    rest = cut(open_pairs(buckets.join(nodes, buckets["n"] == nodes["k1"], "left_semi"), "k", "n", roots, candidates))
+    if not rest.isEmpty():
+        roots = cut(components(edges.union(verified(rest, texts, threshold))))
+    release(spark)
+    # by both hashes, so that a set which only shares k1 with a searched one goes by itself
+    full = roots.join(reps.select("node", "k2"), "node").select(F.col("node").alias("k1"), "k2", "root")
+    placed = cut(classes.select("k1", "k2", "rep", "n").join(full, ["k1", "k2"], "left").select("k1", "k2", "rep", "n", F.coalesce("root", "k1").alias("r"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("r2")))
+    best = placed.groupBy("r", "r2").agg(F.min("rep").alias("kept"), F.sum("n").alias("all")).where("`all` > 1").select("r", "r2", "kept")
+    moved = cut(placed.join(best, ["r", "r2"]).select("k1", "k2", "kept"))
+    members = maybe_in(found.select("id", "version", "k1", "k2"), "k1", moved, "k1").join(moved, ["k1", "k2"])
+    gone = members.where("struct(id, version) != kept").select("id", "version", F.col("kept.id").alias("kept_id"), F.col("kept.version").alias("kept_version")).distinct()
+    return gone, found.groupBy("id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "version")
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that has a near-duplicate with a smaller id.
 
@@ -151,29 +185,43 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1) -> Data
     lie in different components, so that no candidate is left out.
 
     Rows without a doc_id, with null or empty text or without a word take no
-    part. Rows that repeat a doc_id are one document. An empty table gives no
-    row. Other columns of docs are not read.
+    part. Rows that repeat a doc_id and its text are one document; texts that
+    share a doc_id are documents of their own, the smaller hash of the text
+    coming first, and where one of them stands for another both ids of the row
+    are equal. An empty table gives no row. A very long text is one set, which
+    a task holds in memory. Other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    found = cut(sketches(docs, seed).withColumn("low", F.min("id").over(Window.partitionBy("k1", "k2"))))
-    copies = found.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    buckets = found.where("id = low").select(F.col("id").alias("n"), F.explode("bands").alias("k"))
-    candidates = cut(star_edges(buckets, "k", "n"))
-    nodes = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    texts = docs.where("text is not null and text != ''").select(F.col("doc_id").cast("long").alias("id"), "text").dropDuplicates(["id"])
-    edges = cut(verified(candidates, texts.join(nodes, "id", "left_semi"), threshold))
-    roots = cut(components(edges))
-    rest = cut(open_pairs(buckets.join(nodes, buckets["n"] == nodes["id"], "left_semi"), "k", "n", roots, candidates))
-    more = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
-    edges = edges.union(cut(verified(rest, texts.join(more, "id", "left_semi"), threshold)))
-    out = components(edges.union(copies)).where("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
-    release(spark)
-    return out
+    return copies(docs, threshold, seed)[0].select(F.col("id").alias("doc_id"), F.col("kept_id").alias("kept_doc_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1) -> DataFrame:
-    """docs without the documents that `groups` finds a smaller near-duplicate for; rows that take no part stay."""
-    return docs.join(groups(docs, threshold, seed).select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """docs without the documents that a near-duplicate stands for, see `groups`, and without repeats of a row.
+
+    A document is its doc_id and text: of texts that share a doc_id only the
+    duplicates go. Of rows that repeat both, and hold a word, one stays, the least
+    by its other columns. Rows that take no part stay. Only documents that may go
+    are shuffled. Very long texts are those of `groups`. Columns of docs may have
+    any names but those that begin with "__brindle_".
+    """
+    gone, repeated = (cut(x) for x in copies(docs, threshold, seed))
+    key = F.xxhash64("id", "version")
+    doc, version = F.col("doc_id").cast("long"), F.xxhash64("text")
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(F.col("id").alias("__brindle_id"), F.col("version").alias("__brindle_version"), key.alias("__brindle_key"))
+
+    held = (doc == F.col("__brindle_id")) & (version == F.col("__brindle_version"))
+    keys = named(gone)
+    some, others = parted(docs, F.xxhash64(doc, version), keys, "__brindle_key")
+    left = some.join(keys, held, "left_anti").union(others)
+    if repeated.isEmpty():
+        return left
+    keys = named(repeated)
+    some, others = parted(left, F.xxhash64(doc, version), keys, "__brindle_key")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.to_json(whole)  # any columns can be compared as text
+    once = some.join(keys, held).groupBy("__brindle_id", "__brindle_version").agg(F.min_by(whole, text).alias("__brindle_row")).select(*[F.col(f"__brindle_row.`{c}`") for c in docs.columns])
+    return some.join(keys, held, "left_anti").union(others).union(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
