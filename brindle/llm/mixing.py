@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, parted, table
 
 BLOCK = 512
 BUDGET = 0.5
@@ -34,19 +34,19 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def slices(docs: DataFrame, weights: dict[str, float] = WEIGHTS, block: int = BLOCK, budget: float = BUDGET, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, shard, block, first_token, last_token) of the chosen slices, both ends included and counted from 1 in the document.
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and source is not null and text is not null")
 
-    A block at the end of a source may hold fewer tokens. Documents with null
-    doc_id, source or text, or without a token, are in no block. Equal quotients
-    go to the smaller source name, equal hashes to the smaller block. Rows that
-    repeat a doc_id in one source are counted as one document, whose text is the
-    greatest of them; the order of a shard is by hash, then doc_id.
-    """
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n, rows): the most tokens of the rows of each document, and how many rows it has."""
+    counted = _usable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("n"))
+    return counted.groupBy("doc_id", "source").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0")
+
+
+def _slices(counted: DataFrame, weights: dict[str, float] = WEIGHTS, block: int = BLOCK, budget: float = BUDGET, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     if block < 1 or shard_tokens < 1 or not 0 <= budget <= 1 or any(w < 0 for w in weights.values()):
         raise ValueError("block and shard_tokens start at 1, budget lies in 0..1, weights are not negative")
-    counted = docs.where("doc_id is not null and source is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("n"))
-    counted = counted.groupBy("doc_id", "source").agg(F.max("n").alias("n")).where("n > 0")
     total = counted.agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(shard_tokens))).cast("long").alias("shards"))
     dealt = counted.crossJoin(F.broadcast(total)).select("doc_id", "source", "n", (_number(F.concat_ws("|", F.lit(seed), "doc_id")) % F.coalesce("shards", F.lit(1))).alias("shard"), F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "doc_id")).alias("o"))
     line = Window.partitionBy("shard", "source").orderBy("o", "doc_id")
@@ -67,20 +67,46 @@ def slices(docs: DataFrame, weights: dict[str, float] = WEIGHTS, block: int = BL
     return pieces.join(chosen, ["shard", "source", "block"]).select("doc_id", "source", "shard", "block", "first_token", "last_token")
 
 
+def slices(docs: DataFrame, weights: dict[str, float] = WEIGHTS, **parameters) -> DataFrame:
+    """(doc_id, source, shard, block, first_token, last_token) of the chosen slices, both ends included and counted from 1 in the document.
+
+    Parameters are block, budget, shard_tokens and seed. A block at the
+    end of a source may hold fewer tokens. Documents with null doc_id, source or
+    text, or without a token, are in no block. Equal quotients go to the smaller
+    source name, equal hashes to the smaller block. Rows that repeat a doc_id in
+    one source are counted as one document, whose text is that with the most
+    tokens, the greatest of them; the order of a shard is by hash, then doc_id. A
+    very long text spreads over as many blocks as it has tokens for, all in one
+    shard. An empty table has no block. Other columns of docs are not read.
+    """
+    return _slices(cut(token_counts(docs)), weights, **parameters)
+
+
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The chosen slices with their text: the tokens of the slice with single spaces between them, and the other columns of docs.
 
+    See `slices` for what is chosen. A text is cut into tokens once, however many
+    of its slices are chosen, and only texts of which one may be are shuffled.
     Columns of docs named shard, block, first_token, last_token or n_tokens give
-    way to those of the slice.
+    way to those of the slice; other names may be any but those that begin with
+    "__brindle_".
     """
     own = ("shard", "block", "first_token", "last_token", "n_tokens")
     rest = [c for c in docs.columns if c.lower() not in (*own, "doc_id", "source", "text", "n_chars")]
-    texts = docs.where("doc_id is not null and source is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.struct(*[f"`{c}`" for c in rest] or [F.lit(1).alias("none")]).alias("__rest"))
-    texts = texts.groupBy("doc_id", "source").agg(F.max_by(F.struct("text", "__rest"), F.struct(F.regexp_count("text", F.lit(TOKEN)), "text")).alias("__x"))
-    parts = F.slice(F.regexp_extract_all("__x.text", F.lit(f"({TOKEN})"), F.lit(1)), F.col("first_token").cast("int"), (F.col("last_token") - F.col("first_token") + 1).cast("int"))
-    found = slices(docs, **parameters).join(texts, ["doc_id", "source"]).withColumn("text", F.array_join(parts, " "))
+    counted = cut(token_counts(docs))
+    lists = _slices(counted, **parameters).groupBy("doc_id", "source").agg(F.collect_list(F.struct("shard", "block", "first_token", "last_token")).alias("__brindle_slices"))  # no more than a document has blocks
+    chosen = cut(lists.withColumn("__brindle_key", F.xxhash64("doc_id", "source")))
+    texts = _usable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.struct(*[f"`{c}`" for c in rest] or [F.lit(1).alias("none")]).alias("__brindle_rest"))
+    texts = parted(texts, F.xxhash64("doc_id", "source"), chosen, "__brindle_key")[0]
+    if not counted.where("rows > 1").isEmpty():
+        texts = texts.groupBy("doc_id", "source").agg(F.max_by(F.struct("text", "__brindle_rest"), F.struct(F.regexp_count("text", F.lit(TOKEN)), "text")).alias("__brindle_x")).select("doc_id", "source", "__brindle_x.*")
+    tokens = F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))
+    # the array of tokens is bound to a name of the inner function, so that it is made once for all slices
+    cuts = F.transform(F.array(tokens), lambda t: F.transform("__brindle_slices", lambda s: F.struct(s.alias("at"), F.array_join(F.slice(t, s["first_token"].cast("int"), (s["last_token"] - s["first_token"] + 1).cast("int")), " ").alias("text"))))
+    found = texts.join(chosen, ["doc_id", "source"]).select("doc_id", "source", "__brindle_rest", F.explode(cuts[0]).alias("__brindle_cut"))
+    found = found.select("doc_id", "source", "__brindle_rest", F.col("__brindle_cut.text").alias("text"), "__brindle_cut.at.*")
     n_chars = [F.length("text").cast("long").alias("n_chars")] if "n_chars" in docs.columns else []
-    return found.select("doc_id", "text", *[F.col(f"__x.__rest.`{c}`") for c in rest], "source", *n_chars, "shard", "block", "first_token", "last_token", (F.col("last_token") - F.col("first_token") + 1).alias("n_tokens"))
+    return found.select("doc_id", "text", *[F.col(f"__brindle_rest.`{c}`") for c in rest], "source", *n_chars, "shard", "block", "first_token", "last_token", (F.col("last_token") - F.col("first_token") + 1).alias("n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
