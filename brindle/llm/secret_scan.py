@@ -6,8 +6,14 @@ and `name := value` of programming languages and shells, `name: value` of YAML,
 `"name": "value"` of JSON, `name => value`, `#define NAME value`, `name="value"` of
 XML, and arguments of calls and command lines. Constants are propagated: a value
 may be a concatenation of literals and names, or hold `${name}` or `{name}`; a name
-stands for what was last assigned to it. A literal is scored by how sensitive its
-target name is and by its own look, and is a secret from THRESHOLD on.
+stands for what was last assigned to it. Names are those of the whole text, without
+scopes. A literal is scored by how sensitive its target name is and by its own
+look, and is a secret from THRESHOLD on.
+
+A value that is put together from constants and is longer than LONGEST
+characters is no secret, and neither is what is made of it; so a chain of
+constants that double takes no more room than the text. A literal that stands in
+the text as it is may have any length.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import map_batches, table
 
 THRESHOLD = 0.6
+#: A value put together from constants is a secret up to so many characters.
+LONGEST = 8192
 #: A literal whose own look scores less is a word, whatever its name.
 LEAST_LOOK = 0.1
 #: Sensitivity of the words of a name; a pair of words counts as one.
@@ -55,11 +63,19 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+")
 
 @dataclass
 class Literal:
-    value: str
+    value: str | None  # None for one that is too long
     places: list[tuple[int, int]] = field(default_factory=list)
     line: bool = False
 
 
+_TOO_LONG = Literal(None)
+
+
+def _built(value: str, places: list[tuple[int, int]]) -> Literal:
+    """A value put together from constants, and the distinct places of its parts."""
+    return Literal(value, list(dict.fromkeys(places))) if len(value) <= LONGEST else _TOO_LONG
+
+
 def name_parts(name: str) -> list[str]:
     return [x.lower() for x in _PART.findall(re.split(r"\.|::|->", name)[-1])] or [x.lower() for x in _PART.findall(name)]
 
@@ -97,13 +113,15 @@ def passphrase(value: str) -> bool:
     return len(words) in PHRASE_WORDS and len(value) >= 16 and all(w.isalpha() for w in words) and not _PROSE & set(words)
 
 
-def score(name: str, value: str, line: bool = False) -> float:
+def score(name: str, value: str | None, line: bool = False) -> float:
     """Of a pair, 0 to 1.2; a known format is a secret under any name, a passphrase in a line under that of a secret."""
     own = name_score(name)
+    if value is None or not own and not _KNOWN.match(value):
+        return 0.0
     look = 0.1 if line and own >= 0.6 and passphrase(value) else literal_score(value)
     if look < LEAST_LOOK:
         return 0.0
-    return own + look if own else (0.6 if _KNOWN.match(value) else 0.0)
+    return own + look if own else 0.6
 
 
 def lex(text: str) -> list[tuple[str, str, int, int]]:
@@ -198,17 +216,16 @@ def _line(text: str, tokens: list, i: int, at: int, name: str, known: dict[str,
 
 def _value(text: str, tokens: list, at: int, known: dict[str, Literal]) -> tuple[Literal | None, int]:
     """The value that starts at a token, and the token after it."""
-    value, places, i, n = "", [], at, len(tokens)
+    parts: list[Literal] = []
+    i, n = at, len(tokens)
     while i < n:
         kind, word, start, end = tokens[i]
         if kind == "string":
-            filled, more = _filled(word, known)
-            value += filled
-            places += [(start, end), *more] if word else []
+            filled = _filled(word, known)
+            parts.append(Literal(filled.value, [(start, end), *filled.places] if word else []))
             i += 1
         elif kind == "name" and (word in known and word.strip("-")):
-            value += known[word].value
-            places += known[word].places
+            parts.append(known[word])
             i += 1
         elif i == at and kind in ("name", "number", "op") and word not in ("{", "(", "[", "<", "\"", "'", "&", "*"):
             if i + 1 < n and tokens[i + 1][1] in ("(", "[") and tokens[i + 1][2] == end:  # a call or an index: what is in it is parsed by itself
@@ -219,9 +236,9 @@ def _value(text: str, tokens: list, at: int, known: dict[str, Literal]) -> tuple
                 bare = m[0].rstrip(".:")
                 while i < n and tokens[i][2] < m.end():
                     i += 1
-                filled, more = _filled(bare, known)
-                if more:
-                    return Literal(filled, [*more]), i
+                filled = _filled(bare, known)
+                if filled.value is None or filled.places:
+                    return filled, i
                 return Literal(bare, [(start, start + len(bare))]) if bare else None, i
             return None, at
         else:
@@ -233,21 +250,27 @@ def _value(text: str, tokens: list, at: int, known: dict[str, Literal]) -> tuple
             i = j + 1
             continue
         break
-    return (Literal(value, places), i) if i > at else (None, at)
+    return (_joined(parts), i) if i > at else (None, at)
 
 
-def _filled(value: str, known: dict[str, Literal]) -> tuple[str, list[tuple[int, int]]]:
-    """The value with inserted names replaced by their constants, and the places of those."""
-    more: list[tuple[int, int]] = []
+def _joined(parts: list[Literal]) -> Literal:
+    if len(parts) == 1:
+        return Literal(parts[0].value, parts[0].places)
+    if any(p.value is None for p in parts) or sum(len(p.value) for p in parts) > LONGEST:
+        return _TOO_LONG
+    return _built("".join(p.value for p in parts), [x for p in parts for x in p.places])
 
-    def put(m: re.Match) -> str:
-        found = known.get(next(x for x in m.groups() if x))
-        if found is None:
-            return m[0]
-        more.extend(found.places)
-        return found.value
 
-    return (_INSERT.sub(put, value), more) if "$" in value or "{" in value else (value, more)
+def _filled(value: str, known: dict[str, Literal]) -> Literal:
+    """The value with inserted names replaced by their constants, and the places of those."""
+    if "$" not in value and "{" not in value:
+        return Literal(value)
+    parts, at = [], 0
+    for m in _INSERT.finditer(value):
+        if (found := known.get(next(x for x in m.groups() if x))) is not None:
+            parts += [Literal(value[at : m.start()]), found]
+            at = m.end()
+    return _joined([*parts, Literal(value[at:])]) if parts else Literal(value)
 
 
 def secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
@@ -274,8 +297,14 @@ def redacted(text: str, found: list) -> str:
     return "".join((*parts, text[at:]))
 
 
-#: What a text must hold to have a pair that scores: the stem of a sensitive word or a known format, and a way to assign.
-_STEMS = "(?i)pass|pwd|secret|token|credential|auth|key|bearer|signature|salt|jwt|otp|connection|akia|gh[pousr]_|xox|sk[-_]|aiza|eyj|private"
+def _anyhow(word: str) -> str:
+    """A pattern of the word as the parts of a name may spell it: in any case, with anything but letters and digits between its letters."""
+    return r"[^\p{L}\p{N}]*".join(word)
+
+
+#: What a text must hold to have a pair that scores: a sensitive word in any spelling or a known format, and a way to assign. Java's syntax.
+_ASSIGNS = "[=:]|#define|--"
+_SENSITIVE = "(?iu)" + "|".join([*map(_anyhow, sorted({x for x in WORDS if not any(y in x and y != x for y in WORDS)} | {"connection"})), "akia", "gh[pousr]_", "xox[abprs]-", "sk[-_]", "aiza", "eyj", "-----begin"])
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -285,8 +314,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are assigned to and the score; in clean_text <SECRET> stands in their place.
     A literal that becomes part of a secret through a constant is listed where it
     is written. Null and empty texts hold none; a null doc_id is carried along;
-    repeated rows are scanned one by one; an empty table gives no row. Columns
-    other than doc_id and text are not read.
+    repeated rows are scanned one by one; an empty table gives no row. Of pairs
+    that share a literal the one with the highest score is listed, the first one
+    of equals. A very long text is lexed as a whole, in time that grows with its
+    length. Columns other than doc_id and text are not read.
     """
 
     def make():
@@ -298,7 +329,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
         return f
 
-    rows = docs.where(F.col("text").rlike("[=:]|#define|--") & F.col("text").rlike(_STEMS))
+    rows = docs.where(F.col("text").rlike(_ASSIGNS) & F.col("text").rlike(_SENSITIVE))
     return map_batches(rows, [F.col("doc_id").cast("long"), "text"], "doc_id long, secrets array<struct<start:int,end:int,name:string,score:double>>, clean_text string", make)
 
 

@@ -70,3 +70,67 @@ def test_bare_values_of_lines():
     }
     for text, expected in cases.items():
         assert [(text[a:b], k) for a, b, k, _ in secret_scan.secrets(text)] == expected, text
+
+
+def test_constants_that_double():
+    """60 doublings: the value would have 2 ** 60 parts."""
+    import time
+
+    began = time.perf_counter()
+    text = 'x = "q7Zk29xL"\n' + "x = x + x\n" * 60 + "token = x\nsecret = 'w0Pq8Rt5' + 'zz81'\n"
+    found = [(text[a:b], k) for a, b, k, _ in secret_scan.secrets(text)]
+    assert found == [("w0Pq8Rt5", "secret"), ("zz81", "secret")] and time.perf_counter() - began < 1
+    text = 'x = "q7Zk29xL"\n' + 'x = "${x}${x}"\n' * 60 + "token = x"
+    assert secret_scan.secrets(text) == [] and time.perf_counter() - began < 1
+    # a few doublings are followed, and the literal is listed once
+    text = 'x = "q7Zk29xL"\n' + "x = x + x\n" * 5 + "token = x"
+    assert [(text[a:b], k) for a, b, k, _ in secret_scan.secrets(text)] == [("q7Zk29xL", "token")]
+    # a literal that is written out may be longer
+    long = "".join(chr(33 + (k * k * 7 + k // 5) % 90) for k in range(20_000)).translate({34: 65, 92: 66, 36: 67, 123: 68, 96: 69, 39: 70})
+    assert [k for *_, k, _ in secret_scan.secrets(f'token = "{long}"')] == ["token"]
+
+
+def test_against_an_evaluator():
+    """Programs of assignments: what an interpreter of their statements holds at each one is what the lexer pairs with the name."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(200):
+        known: dict[str, tuple[str, set]] = {}
+        text, want = "", []
+        for _ in range(draw.randint(1, 12)):
+            name = draw.choice(["alpha", "beta", "gamma", "token", "DB_PASSWORD"])
+            text += name + draw.choice([" = ", "=", ": "])
+            value, places, first = "", set(), True
+            for _ in range(draw.randint(1, 3)):
+                if not first:
+                    text += " + "
+                first = False
+                if known and draw.random() < 0.4:
+                    other = draw.choice(sorted(known))
+                    text += other
+                    value, places = value + known[other][0], places | known[other][1]
+                elif known and draw.random() < 0.3:
+                    other, word = draw.choice(sorted(known)), "".join(draw.choices("abcxyz0189", k=4))
+                    text += f'"{word}'
+                    places = places | {(len(text) - 4, len(text) + len(other) + 3)} | known[other][1]
+                    text += f'${{{other}}}"'
+                    value += word + known[other][0]
+                else:
+                    word = "".join(draw.choices("abcxyzQRS0189", k=draw.randint(1, 9)))
+                    text += f'"{word}"'
+                    places = places | {(len(text) - 1 - len(word), len(text) - 1)}
+                    value += word
+            text += "\n"
+            known[name] = (value, places)
+            want.append((name, value, places))
+        assert [(n, x.value, set(x.places)) for n, x in secret_scan.pairs(text)] == want, text
+
+
+def test_the_filter_hides_nothing(spark):
+    """Whatever spelling of a name the parser knows, the scan reads the text."""
+    value = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    names = ["to_ken", "TO-ken", "api__key", "p_w_d", "Client.sec_ret", "j_w_t", "connection_string", "acc_ess_key", "credentialS", "pass"]
+    texts = [f'{n} = "{value}"' for n in names] + [f'"to ken": "{value}"', f"--to-ken {value}", f'x = "AKIA{"Z2" * 8}"', 'k: "eyJh.bGci.OiJI"', 'y := "sk_live_0123456789abcdefXYZ"']
+    found = {r.doc_id for r in secret_scan.scan(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert found == {i for i, t in enumerate(texts) if secret_scan.secrets(t)} and len(found) >= 12
