@@ -7,7 +7,8 @@ A turn is rendered as
     <|im_start|>assistant\\nTEXT<|im_end|>\\n   or   <|im_start|>user name=NAME\\nTEXT<|im_end|>\\n
 
 and the mask covers TEXT<|im_end|> of the assistant's turns, the characters that a
-loss is taken over.
+loss is taken over. Markup inside a text or a name is escaped by a backslash after
+its "<", so that no turn can end itself or begin another one.
 
 The plan is declarative and has one shuffle, by conversation: the turns of a
 conversation lie in one partition for the participants, the running lengths and
@@ -16,7 +17,7 @@ the rendering alike, and windows may spill where a conversation is long.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -25,6 +26,12 @@ START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 
 
+def _escaped(text: Column) -> Column:
+    for mark in (START, END):
+        text = F.replace(text, F.lit(mark), F.lit("<\\" + mark[1:]))
+    return text
+
+
 def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     """(conv_id, perspective, n_turns, n_trained, text, mask) of every conversation and participant.
 
@@ -34,7 +41,9 @@ def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     out; a null text is an empty one; turns are in order of `turn` (null first),
     ties by role and text. Rows that agree in conv_id, turn, role and text are one
     turn. A conversation with none but system turns gives no row, an empty table
-    neither. Columns other than conv_id, turn, role and text are not read.
+    neither. A very long text is rendered once for every participant; a
+    conversation lies in one task, which may spill. Columns other than conv_id,
+    turn, role and text are not read.
     """
     role = F.regexp_replace(F.regexp_replace("role", "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""), "[ \\t\\n\\r]+", "_")
     own = turns.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and role is not null and role != ''")
@@ -44,8 +53,8 @@ def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     speakers = F.array_sort(F.collect_set(F.when(F.col("role") != system, F.col("role"))).over(talk))
     each = placed.withColumn("speakers", speakers).withColumn("perspective", F.explode("speakers")).drop("copy", "speakers")
     trained = F.col("role") == F.col("perspective")
-    head = F.when(trained, F.lit(f"{START}assistant\n")).when(F.col("role") == system, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), "role", F.lit("\n")))
-    shown = each.select("conv_id", "perspective", "turn", "role", "text", trained.alias("trained"), F.length(head).alias("h"), F.concat(head, "text", F.lit(f"{END}\n")).alias("shown"))
+    head = F.when(trained, F.lit(f"{START}assistant\n")).when(F.col("role") == system, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), _escaped(F.col("role")), F.lit("\n")))
+    shown = each.select("conv_id", "perspective", "turn", "role", "text", trained.alias("trained"), F.length(head).alias("h"), F.concat(head, _escaped(F.col("text")), F.lit(f"{END}\n")).alias("shown"))
     line = Window.partitionBy("conv_id", "perspective").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     until = F.sum(F.length("shown").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0))
     spans = shown.withColumns({"at": F.row_number().over(line), "until": until}).withColumn("mask", F.when(F.col("trained"), F.struct((F.col("until") - F.length("shown") + F.col("h")).alias("start"), (F.col("until") - 1).alias("end"))))
@@ -65,6 +74,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(source: str = "conversations", system: str = SYSTEM) -> str:
+    escaped = lambda c: f"replace(replace({c}, '{START}', '<\\{START[1:]}'), '{END}', '<\\{END[1:]}')"
     return f"""
 WITH named AS (
   SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text,
@@ -74,9 +84,9 @@ WITH named AS (
 ), speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM own WHERE role <> '{system}'
 ), headed AS (
   SELECT o.conv_id, s.perspective, o.turn, o.role, o.text, o.role = s.perspective AS trained,
-    CASE WHEN o.role = s.perspective THEN '{START}assistant' WHEN o.role = '{system}' THEN '{START}system' ELSE '{START}user name=' || o.role END || chr(10) AS head
+    CASE WHEN o.role = s.perspective THEN '{START}assistant' WHEN o.role = '{system}' THEN '{START}system' ELSE '{START}user name=' || {escaped("o.role")} END || chr(10) AS head
   FROM own o JOIN speakers s ON o.conv_id = s.conv_id
-), shown AS (SELECT *, head || text || '{END}' || chr(10) AS shown FROM headed
+), shown AS (SELECT *, head || {escaped("text")} || '{END}' || chr(10) AS shown FROM headed
 ), placed AS (
   SELECT *, row_number() OVER w AS place, (sum(length(shown)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS until FROM shown
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text)
