@@ -4,7 +4,9 @@ An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs,
 schemes, identifier cues such as "IBAN" or "account", and digits. At an anchor a
 deterministic parser expands to the left and right to the boundaries of an e-mail
 address, a network address, a phone number or an account number, and validates
-it: labels of a domain, octets, check digits (Luhn, mod 97), issuer ranges.
+it: labels of a domain, octets, check digits (Luhn, mod 97), issuer ranges, the
+lengths that each country's account numbers have. Postal addresses are not looked
+for: they have no anchor.
 """
 
 from __future__ import annotations
@@ -33,9 +35,19 @@ _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\w]|-\d)")
 #: Lengths of the numbers of each issuer.
 _LENGTHS = ((re.compile(r"4"), (13, 16, 19)), (re.compile(r"5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)"), (16,)), (re.compile(r"3[47]"), (15,)), (re.compile(r"3[0689]"), range(14, 20)), (re.compile(r"35|6011|64[4-9]|65|62"), range(16, 20)))
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?!\w)")
+_IBAN_LENGTHS = {
+    country: int(size)
+    for size, countries in (x.split(":") for x in "15:NO 16:BE 18:DK FO FI GL NL FK SD 19:MK SI 20:AT BA EE KZ LT LU XK MN 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA 23:AE GI IL IQ OM SO TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM 28:AL AZ BY CY DO GT HN HU LB NI PL SV 29:BR EG PS QA UA 30:JO KW MU YE 31:MT SC 32:LC 33:RU".replace(" 1", "|1").replace(" 2", "|2").replace(" 3", "|3").split("|"))
+    for country in countries.split()
+}
+#: An account number with letters, as a cue may announce it.
+_CODE = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?!\w)")
 _ACCOUNT = re.compile(r"\d(?:[ -]?\d){5,19}(?![\w]|-\d)")
+#: Eight groups of four with colons; the last two may be written as four octets.
+_IPV6_LENGTH = 45
 _USERINFO = re.compile(r"([^\s/@:]+):([^\s/@]+)@([\w.-]+)")
+_NO_CUE = -(1 << 60)
 Span = tuple[int, int, str]
 
 
@@ -68,7 +80,7 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    return _IBAN_LENGTHS.get(iban[:2].upper()) == len(iban) and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
 def _digits(s: str) -> str:
@@ -90,9 +102,9 @@ def _plain_digit(c: str) -> bool:
 
 
 def email(text: str, at: int) -> Span | None:
-    """The address around the at-sign."""
+    """The address around the at-sign, its local part of any length."""
     start = at
-    while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL) and at - start < 64:
+    while start and (text[start - 1].isalnum() or text[start - 1] in _LOCAL):
         start -= 1
     while start < at and not text[start].isalnum():  # punctuation before an address isn't part of it
         start += 1
@@ -121,9 +133,10 @@ def number(text: str, at: int, account_cue: int, phone_cue: int) -> tuple[Span |
     if start < at or not all(map(_plain_digit, text[start:end])):
         if found := _IBAN.match(text, start):
             for size in _ends(found[0]):
-                if len(iban := found[0][:size].replace(" ", "")) >= 15 and mod97(iban):
+                if mod97(found[0][:size].replace(" ", "")):
                     return (start, start + size, "iban"), start + size
-        return _ipv6(text, start, end)
+        span, to = _ipv6(text, start, end)
+        return (span, to) if span else (_code(text, start, account_cue) or (None, to))
     if text[end : end + 1] == ":" or before == ":":
         span, to = _ipv6(text, start, end)
         if span:
@@ -148,19 +161,31 @@ def number(text: str, at: int, account_cue: int, phone_cue: int) -> tuple[Span |
                 return (start, start + size, "card"), start + size
     if 0 <= start - phone_cue <= CUE_REACH and (found := _CUED_PHONE.match(text, opened)) and 7 <= len(_digits(found[0])) <= 15:
         return (opened, found.end(), "phone"), found.end()
-    if 0 <= start - account_cue <= CUE_REACH and (found := _ACCOUNT.match(text, start)):
+    if 0 <= start - account_cue <= CUE_REACH and (before != "-" or start < 2 or not text[start - 2].isalnum()) and (found := _ACCOUNT.match(text, start)):
         return (start, found.end(), "account"), found.end()
-    return None, end
+    return _code(text, start, account_cue) or (None, end)
+
+
+def _code(text: str, start: int, account_cue: int) -> tuple[Span, int] | None:
+    """The account number with letters or hyphens that the token at `start` is part of, shortly after a cue: six digits or more."""
+    if not 0 <= start - account_cue <= 2 * CUE_REACH:
+        return None
+    while start > account_cue and (text[start - 1] == "-" or text[start - 1].isalnum()):
+        start -= 1
+    while text[start] == "-":
+        start += 1
+    found = _CODE.match(text, start)
+    return ((start, found.end(), "account"), found.end()) if start - account_cue <= CUE_REACH and found and len(_digits(found[0])) >= 6 else None
 
 
 def _ipv6(text: str, start: int, end: int) -> tuple[Span | None, int]:
     s, e = start, end
-    while s and (text[s - 1] in ":." or text[s - 1] in "0123456789abcdefABCDEF") and start - s < 40:
+    while s and (text[s - 1] in ":." or text[s - 1] in "0123456789abcdefABCDEF") and start - s <= _IPV6_LENGTH:
         s -= 1
-    while e < len(text) and (text[e] in ":." or text[e] in "0123456789abcdefABCDEF") and e - end < 40:
+    while e < len(text) and (text[e] in ":." or text[e] in "0123456789abcdefABCDEF") and e - end <= _IPV6_LENGTH:
         e += 1
-    run = text[s:e].rstrip(".")
-    if run.count(":") >= 2 and not (s and text[s - 1].isalnum()) and not text[s + len(run) : s + len(run) + 1].isalnum():
+    run = text[s:e].rstrip(".")  # a longer one is none as a whole
+    if len(run) <= _IPV6_LENGTH and run.count(":") >= 2 and not (s and text[s - 1].isalnum()) and not text[s + len(run) : s + len(run) + 1].isalnum():
         try:
             ipaddress.IPv6Address(run)
             return (s, s + len(run), "ip"), s + len(run)
@@ -172,7 +197,7 @@ def _ipv6(text: str, start: int, end: int) -> tuple[Span | None, int]:
 def spans(text: str, cues: ahocorasick.Automaton) -> list[Span]:
     """Ascending disjoint (start, end, kind) of a text, in code points; of spans that overlap the first one stays."""
     out: list[Span] = []
-    done, account_cue, phone_cue = 0, -CUE_REACH - 1, -CUE_REACH - 1
+    done, account_cue, phone_cue = 0, _NO_CUE, _NO_CUE
     low = lowered(text)
     for last, (kind, size) in cues.iter(low):
         span = None
@@ -213,7 +238,10 @@ def find(docs: DataFrame) -> DataFrame:
     kind: email, login, phone, ip, ssn, card, iban or account. In clean_text the
     kind stands in their place. Null and empty texts hold none; a null doc_id is
     carried along; repeated rows are searched one by one; an empty table gives
-    no row. Columns other than doc_id and text are not read.
+    no row. Of spans that overlap the first one stays, but an e-mail address takes
+    in what was found in its local part; at one place the kinds are tried in a
+    fixed order. A very long text is searched as a whole, in one pass. Columns
+    other than doc_id and text are not read.
     """
 
     def make():

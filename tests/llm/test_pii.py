@@ -67,3 +67,96 @@ def test_number_behind_a_number():
     }
     for text, expected in cases.items():
         assert [(text[a:b], k) for a, b, k in pii.spans(text, pii.automaton())] == expected, text
+
+
+def test_boundaries():
+    cases = {
+        "a" * 70 + ".b@mail.example.com x": [("a" * 70 + ".b@mail.example.com", "email")],
+        "account: A-4455-9912, then": [("A-4455-9912", "account")],
+        "Kontonummer konto AB12345678.": [("AB12345678", "account")],
+        "account x-1 and y-2": [],
+        "de89370400440532013000 and gb82 west 1234 5698 7654 32": [("de89370400440532013000", "iban"), ("gb82 west 1234 5698 7654 32", "iban")],
+        "XX89370400440532013000 DE8937040044053201300": [],
+        "1:2:3:4:5:6:7:8": [("1:2:3:4:5:6:7:8", "ip")],
+        ":".join("1234" for _ in range(30)): [],
+        "0000:0000:0000:0000:0000:ffff:192.168.100.228": [("0000:0000:0000:0000:0000:ffff:192.168.100.228", "ip")],
+    }
+    for text, expected in cases.items():
+        assert [(text[a:b], k) for a, b, k in pii.spans(text, pii.automaton())] == expected, text
+
+
+def naive(text):
+    """What may be found, by asking at every position whether a whole entity of a kind begins there; no anchors, no expansion."""
+    import ipaddress
+    import re
+
+    out = []
+    i = 0
+    free = lambda k: k < 0 or k >= len(text) or not (text[k].isalnum() or text[k] == "_")
+    while i < len(text):
+        hit = None
+        m = re.compile(r"[a-z0-9][a-z0-9._%+'-]*(?<!\.)@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?![\w-])").match(text, i)
+        if m and ".." not in m[0].split("@")[0] and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "._%+-'")):
+            hit = m.end(), "email"
+        if not hit and free(i - 1):
+            for j in range(min(len(text), i + 45), i, -1):
+                part = text[i:j]
+                if not free(j) or not part[-1].isalnum():
+                    continue
+                digits, plain = re.sub(r"[ -]", "", part), re.sub(" ", "", part)
+                if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", part) and not re.match(r"\.\d", text[j:]) and text[i - 1 : i] != ".":
+                    try:
+                        ipaddress.IPv4Address(part)
+                        hit = j, "ip"
+                    except ValueError:
+                        pass
+                elif re.fullmatch(r"\d([ -]?\d)+", part) and text[i - 1 : i] not in ("-", ".") and 13 <= len(digits) <= 19:
+                    total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+                    if total % 10 == 0 and pii.card(digits):
+                        hit = j, "card"
+                elif re.fullmatch(r"[A-Za-z]{2}\d\d([A-Za-z0-9]+|( [A-Za-z0-9]{4})+( [A-Za-z0-9]{1,3})?)", part) and 15 <= len(plain) <= 34:
+                    if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and pii._IBAN_LENGTHS.get(plain[:2].upper()) == len(plain):
+                        hit = j, "iban"
+                if hit:
+                    break
+        if hit:
+            out.append((i, *hit))
+            i = hit[0]
+        else:
+            i += 1
+    return out
+
+
+def test_against_all_positions():
+    """Texts made of entities, broken ones and words: the anchors lead to what a search at every position finds."""
+    import random
+
+    draw = random.Random(7)
+
+    def entity():
+        kind = draw.randrange(9)
+        name = "".join(draw.choices("abcdefgh", k=draw.randint(1, 8)))
+        if kind == 0:
+            return f"{name}.{draw.randrange(100)}@{name[::-1]}.example.{draw.choice(['com', 'org', 'c'])}"
+        if kind == 1:
+            return ".".join(str(draw.randrange(300)) for _ in range(draw.choice([3, 4, 4, 4])))
+        if kind in (2, 3):
+            head = "4" + "".join(draw.choices("0123456789", k=14))
+            good = next(d for d in "0123456789" if pii.luhn(head + d))
+            full = head + (good if draw.random() < 0.7 else str((int(good) + 1) % 10))
+            return draw.choice([full, " ".join(full[k : k + 4] for k in range(0, 16, 4)), "-".join(full[k : k + 4] for k in range(0, 16, 4))])
+        if kind in (4, 5):
+            body = "".join(draw.choices("0123456789", k=18))
+            check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+            full = f"DE{check if draw.random() < 0.7 else (check + 1) % 97:02d}{body}"
+            return draw.choice([full, full.lower(), " ".join(full[k : k + 4] for k in range(0, 22, 4))])
+        return name
+
+    cues, kinds = pii.automaton(), {"email", "ip", "card", "iban"}
+    some = 0
+    for _ in range(400):
+        text = draw.choice(["; ", ", and ", " / "]).join(entity() for _ in range(draw.randint(1, 6)))
+        found = [x for x in pii.spans(text, cues) if x[2] in kinds]
+        assert found == naive(text), text
+        some += len(found)
+    assert some > 300
