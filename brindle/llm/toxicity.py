@@ -29,8 +29,10 @@ BUCKET_BITS = 22
 FIT_ROWS = 8_000
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 3e-4
-#: Terms in fewer documents of the sample, or with less evidence for either class, have no weights.
-MIN_DOCS, MIN_Z = 3, 3.0
+#: Terms in fewer documents of the sample, or with less evidence for either class by themselves and in pairs, have no weights.
+MIN_DOCS, MIN_Z, MIN_PAIR_Z = 3, 3.0, 10.0
+#: Evidence in pairs is looked for among so many terms, those that are in nearly as many documents as they are not in.
+PAIR_TERMS = 1024
 #: At the threshold, at least this share of the labelled documents above it is toxic.
 PRECISION = 0.97
 #: Scores are counted in so many bins for the threshold.
@@ -109,15 +111,41 @@ class FactorizationMachine:
         return np.concatenate(out)
 
 
+def paired(row: np.ndarray, col: np.ndarray, label: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The terms whose covariance with another term differs between the classes, whatever the evidence of either alone."""
+    n = len(label)
+    common = np.argsort(-np.minimum(seen, n - seen), kind="stable")[:PAIR_TERMS]
+    common = common[(seen[common] >= MIN_DOCS) & (seen[common] < n)]
+    if not len(common) or not 0 < label.sum() < n:
+        return common[:0]
+    place = np.full(len(seen), -1)
+    place[common] = np.arange(len(common))
+    difference = np.zeros((len(common), len(common)))
+    for value, sign in ((1, 1), (0, -1)):
+        own = label == value
+        number = np.cumsum(own) - 1
+        use = own[row] & (place[col] >= 0)
+        held = np.zeros((int(own.sum()), len(common)), dtype=np.float32)
+        held[number[row[use]], place[col[use]]] = 1
+        held -= held.mean(axis=0)
+        difference += sign * (held.T @ held) / len(held)
+    spread = seen[common] / n * (1 - seen[common] / n)
+    z = np.abs(difference) / np.sqrt(np.outer(spread, spread) * (1 / label.sum() + 1 / (n - label.sum())))
+    np.fill_diagonal(z, 0)
+    return common[z.max(axis=0) >= MIN_PAIR_Z]
+
+
 def fitted(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, label: np.ndarray, seed: int = 1) -> FactorizationMachine:
-    """A machine over the terms that tell the classes apart, by the z score of their shares of documents."""
+    """A machine over the terms that tell the classes apart, by the z score of their shares of documents or of how they go together with another term."""
     names, col = np.unique(bucket, return_inverse=True)
     n1, n0 = max(int(label.sum()), 1), max(int(len(label) - label.sum()), 1)
     seen1 = np.bincount(col, weights=label[row], minlength=len(names))
     seen = np.bincount(col, minlength=len(names))
     p = seen / (n0 + n1)
     z = (seen1 / n1 - (seen - seen1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    machine = FactorizationMachine(names[(seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z)], seed=seed)
+    telling = np.abs(z) >= MIN_Z
+    telling[paired(row, col, label, seen)] = True
+    machine = FactorizationMachine(names[(seen >= MIN_DOCS) & telling], seed=seed)
     if 0 < label.sum() < len(label):
         machine.fit(*machine.known(row, bucket, count), label, seed=seed)
     return machine
@@ -189,7 +217,8 @@ def toxic(docs: DataFrame, labels: DataFrame, precision: float = PRECISION, fit_
 
     Null and empty texts, and texts without a word, never are; a null doc_id is
     carried along (it can't be labelled); repeated rows are scored one by one, and
-    equal texts get equal scores; an empty table gives no row. Labels that are
+    equal texts get equal scores, so that ties fall on one side; a very long text
+    is scored by all its words; an empty table gives no row. Labels that are
     null, or of documents that aren't there, are ignored; without labels of both
     classes nothing is found. Columns other than doc_id and text are not read.
     """

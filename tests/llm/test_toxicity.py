@@ -36,6 +36,21 @@ def test_insult_with_group_mention():
     assert min(m.score(["dolt martians here"])[0], 1 - m.score(["dolt here"])[0], 1 - m.score(["martians here"])[0]) > 0.5
 
 
+def test_pure_pair_by_production_parameters(spark):
+    """Toxic is who uses exactly one of two words, each as frequent in either class: none tells anything by itself."""
+    draw = np.random.default_rng(4)
+    a, b = draw.integers(0, 2, 2400), draw.integers(0, 2, 2400)
+    texts = [prose(i, 25) + " zork" * x + " grunk" * y for i, (x, y) in enumerate(zip(a, b))]
+    row, bucket, count = toxicity.terms(texts[:1600])
+    m = toxicity.fitted(row, bucket, count, (a ^ b)[:1600].astype(float))
+    assert (((m.score(texts[1600:]) > 0.5) == (a ^ b)[1600:]).mean()) > 0.9
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(a[i] ^ b[i])) for i in range(1600)], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic(docs, labels).collect() if r.doc_id >= 1600}
+    want = {i for i in range(1600, 2400) if a[i] ^ b[i]}
+    assert len(found & want) >= 0.8 * len(want) and len(found - want) <= 0.05 * len(found)
+
+
 def test_held_out(spark, small):
     big = small.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
