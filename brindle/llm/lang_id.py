@@ -5,7 +5,10 @@ the character 5-grams of all labelled documents. Its probabilities and back-off
 weights lie in arrays sorted by the hash of the n-gram, one pair for each order.
 A document gets the language whose model needs the fewest bits per character;
 it is rejected where even that is more than the calibrated limit of the language
-or where the runner-up is too close.
+or where the runner-up is too close. The limits of a language are calibrated on
+every HELD-th of its documents, by the hash of the text, which take no part in
+training; a language of fewer than HELD_FROM labelled documents is trained and
+calibrated on all of them.
 
 Text is read in lower case, with every digit as 0 and every run of white space as
 one space. Characters beyond the ALPHABET most frequent ones count as one.
@@ -32,6 +35,8 @@ SLICE_GRAMS = 1_500_000
 JOINT = 20_000_000
 #: Of the documents that get the language they are labelled with, so large a share is accepted.
 ACCEPTED = 0.999
+#: One in so many documents calibrates the limits; of a language of at least so many labelled ones.
+HELD, HELD_FROM = 10, 2_000
 #: Documents in a scoring chunk and characters in it; the chunk number must fit beside a 5-gram in 64 bits.
 CHUNK_DOCS, CHUNK_CHARS = 1 << (63 - ORDER * BITS), 250_000
 SCORE = "lang string, cross_entropy double, margin double"
@@ -215,7 +220,7 @@ class Model:
             there, value = _find(self.backs[k - 1], g >> U64(BITS))
             out[todo[there]] += value[there]
         out[todo] -= BITS + 5
-        return out
+        return out.astype(np.float32)  # as the joint array of a slice holds it
 
 
 def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,8 +416,16 @@ def scorer(models: Models):
     return score.asNondeterministic()  # as if, so that no filter is moved below it and the text scored twice
 
 
+def roles(docs: DataFrame) -> tuple[Column, Column]:
+    """Whether a labelled document trains, and whether it calibrates."""
+    large = sorted(r[0] for r in docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HELD_FROM).select("lang").collect())
+    own = F.col("lang").isin(large) if large else F.lit(False)
+    held = F.pmod(F.xxhash64(F.lit("held out"), "text"), F.lit(HELD)) == 0
+    return ~own | ~held, ~own | held
+
+
 def limits(scores: DataFrame, accepted: float = ACCEPTED) -> dict[str, tuple[float, float]]:
-    """By language, over all documents labelled with it and recognised: the most bits a character and the least margin accepted."""
+    """By language, over the calibrating documents labelled with it and recognised: the most bits a character and the least margin accepted."""
     own = scores.where("lang = label").groupBy("lang").agg(F.percentile_approx("cross_entropy", F.lit(accepted), F.lit(100_000)).alias("most"), F.percentile_approx("margin", F.lit(1 - accepted), F.lit(100_000)).alias("least"))
     return {r["lang"]: (r["most"], r["least"]) for r in own.collect()}
 
@@ -430,19 +443,31 @@ def identify(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
 
     Null, empty and blank texts are rejected; a null label only keeps a document
     out of training and calibration; a null doc_id is carried along; repeated
-    rows are scored one by one. Without any labelled document all are rejected.
+    rows are scored one by one, and equal texts get equal scores. Of languages
+    whose models need equally many bits the first by name is taken, with a margin
+    of 0. A very long text is scored as a whole. Without any labelled document,
+    and so of an empty table, all are rejected. Columns other than doc_id, text
+    and lang are not read.
     """
-    score = scorer(train(docs))
-    scores = cut(docs.select("doc_id", F.col("lang").alias("label"), score("text").alias("s")).select("doc_id", "label", "s.*"))
-    found = limits(scores, accepted)
-    return scores.where(accepts(F.struct("lang", "cross_entropy", "margin"), found)).drop("label")
+    trains, calibrates = roles(docs)
+    score = scorer(train(docs.where(trains)))
+    scores = cut(docs.select("doc_id", F.col("lang").alias("label"), F.coalesce(calibrates, F.lit(False)).alias("calibrates"), score("text").alias("s")).select("doc_id", "label", "calibrates", "s.*"))
+    found = limits(scores.where("calibrates"), accepted)
+    return scores.where(accepts(F.struct("lang", "cross_entropy", "margin"), found)).select("doc_id", "lang", "cross_entropy", "margin")
 
 
 def keep_identified(docs: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
-    """The accepted documents, as they are. Two passes score the text, so that it is never shuffled or written again."""
-    score = scorer(train(docs))
-    found = limits(docs.select(F.col("lang").alias("label"), score("text").alias("s")).select("label", "s.*"), accepted)
-    return docs.withColumn("__score", score("text")).where(accepts(F.col("__score"), found)).drop("__score")
+    """The accepted documents, see `identify`, with the identified language in lang and all else as it is.
+
+    The text is scored where it calibrates and once more for the decision, so that
+    it is never shuffled or written again. Columns of docs may have any names but
+    "__brindle_score".
+    """
+    trains, calibrates = roles(docs)
+    score = scorer(train(docs.where(trains)))
+    found = limits(docs.where(calibrates).select(F.col("lang").alias("label"), score("text").alias("s")).select("label", "s.*"), accepted)
+    scored = docs.withColumn("__brindle_score", score("text")).where(accepts(F.col("__brindle_score"), found))
+    return scored.select(*[F.col("__brindle_score.lang").alias(c) if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
