@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.batches import flat_map
+from brindle.operators.batches import flat_map, map_lists
 
 
 class _Rows(HTMLParser):
@@ -75,5 +75,5 @@ def kinds(text: str | None) -> Counter:
 
 
 def kind_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(kind, n) over all JSON texts of a column; texts that aren't JSON have none."""
-    return flat_map(texts.select(column), "kind string, n long", lambda t: kinds(t).items()).groupBy("kind").agg(F.sum("n").alias("n"))
+    """(kind, n) over all JSON texts of a column; texts that aren't JSON have none. Counted by batch before the shuffle."""
+    return map_lists(texts.select(column), "kind string, n long", lambda column: list(sum(map(kinds, column), Counter()).items())).groupBy("kind").agg(F.sum("n").alias("n"))

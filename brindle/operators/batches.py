@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def flat_map(df: DataFrame, schema: str, f: Callable[..., Iterable[tuple]]) -> DataFrame:
-    """Rows of f(*columns of a row) for every row of df; f runs on Arrow batches' Python values."""
+def map_lists(df: DataFrame, schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
+    """Rows of f(*lists of a batch's columns) for every Arrow batch of df."""
     kind = T.StructType.fromDDL(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -18,7 +18,12 @@ def flat_map(df: DataFrame, schema: str, f: Callable[..., Iterable[tuple]]) -> D
 
         arrow = to_arrow_schema(kind)
         for batch in batches:
-            rows = [r for values in zip(*(c.to_pylist() for c in batch.columns)) for r in f(*values)]
+            rows = f(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=x.type) for k, x in enumerate(arrow)], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def flat_map(df: DataFrame, schema: str, f: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """Rows of f(*columns of a row) for every row of df; f runs on Arrow batches' Python values."""
+    return map_lists(df, schema, lambda *columns: [r for values in zip(*columns) for r in f(*values)])

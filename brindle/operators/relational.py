@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 JOINS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count": F.count, "count_distinct": F.count_distinct}
@@ -55,10 +56,53 @@ def join(left: DataFrame, right: DataFrame, on: Column | Sequence[tuple[str, str
 
 
 def not_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """Rows whose column isn't among the values, as SQL's NOT IN: none where a value is null, none with a null column unless there are no values."""
+    """Rows whose column isn't among the values, as SQL's NOT IN: none where a value is null, none with a null column unless there are no values.
+
+    One aggregate tells whether there are values and nulls among them; the rest
+    is an anti-join on keys, which needs no broadcast of the values.
+    """
     value = values.columns[0]
-    side = values.select(F.col(value).alias("__value"))
-    return left.join(side, (left[column] == side["__value"]) | (left[column] == side["__value"]).isNull(), "left_anti")
+    known = values.agg(F.count(F.lit(1)).alias("__all"), F.count(value).alias("__known"))
+    side = values.select(F.col(value).alias("__value")).where("__value is not null")
+    rest = left.join(side, left[column] == side["__value"], "left_anti").crossJoin(F.broadcast(known))  # one row
+    return rest.where((F.col("__all") == 0) | (F.col("__all") == F.col("__known")) & F.col(column).isNotNull()).select(*[f"`{c}`" for c in left.columns])
+
+
+def join_as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Every row of left with the other columns of that row of right with equal keys whose time is the last one up to its own; nulls where there is none.
+
+    Rows with a null key or time have no partner. Of rows of right with equal keys
+    and time one is taken, the greatest by its other columns. Both sides are laid
+    together and scanned once in order of time, so there is one shuffle, by the
+    keys, and no pair is made that isn't in the result.
+    """
+    own = [c for c in right.columns if c not in (*keys, time)]
+    usable = F.col(time).isNotNull()
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    rest = F.struct(*[f"`{c}`" for c in own])
+    latest = right.where(usable).groupBy(*keys, time).agg(F.max(rest).alias("__right"))
+    none = F.lit(None)
+    both = latest.select(*keys, time, F.lit(0).alias("__side"), "__right", none.cast(_struct_of(left)).alias("__left"))
+    both = both.unionByName(left.select(*keys, time, F.lit(1).alias("__side"), none.cast(latest.schema["__right"].dataType).alias("__right"), F.struct(*[f"`{c}`" for c in left.columns]).alias("__left")))
+    line = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_first(), "__side")
+    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    matched = F.when(usable, F.col("__found"))
+    return found.select(*[F.col(f"__left.`{c}`") for c in left.columns], *[matched[c].alias(c) for c in own])
+
+
+def _struct_of(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+
+
+def join_range(left: DataFrame, right: DataFrame, start: str, time: str, seconds: int) -> DataFrame:
+    """Pairs where right's time lies in [start, start + seconds), by an equi-join on buckets of `seconds`: an interval touches two of them."""
+    _distinct_names(left, right)
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+    first = bucket(start)
+    spread = left.withColumn("__bucket", F.explode(F.array(first, first + 1)))
+    met = spread.join(right.withColumn("__own", bucket(time)), F.col("__bucket") == F.col("__own"))
+    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(start) + F.expr(f"interval {seconds} seconds"))).drop("__bucket", "__own")
 
 
 def aggregate(df: DataFrame, keys: Sequence[str] = (), having: Column | None = None, **aggregates: tuple[str, str | Column] | Column) -> DataFrame:
@@ -76,16 +120,59 @@ def aggregate(df: DataFrame, keys: Sequence[str] = (), having: Column | None = N
     return out if having is None else out.where(having)
 
 
-def order_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows in order of the keys, "-name" for descending; nulls last either way."""
-    return df.orderBy(*[F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_last() for k in keys])
+def _key(df: DataFrame, key: str | int | Column) -> Column:
+    if isinstance(key, Column):
+        return key
+    if isinstance(key, int):
+        if not 1 <= abs(key) <= len(df.columns):
+            raise ValueError(f"there is no column {abs(key)}")
+        key = ("-" if key < 0 else "") + df.columns[abs(key) - 1]
+    name, _, first = key.partition(" nulls ")
+    column = F.col(name.removeprefix("-"))
+    if first == "first":
+        return column.desc_nulls_first() if name.startswith("-") else column.asc_nulls_first()
+    return column.desc_nulls_last() if name.startswith("-") else column.asc_nulls_last()
+
+
+def order_by(df: DataFrame, *keys: str | int | Column) -> DataFrame:
+    """Rows in order of the keys: names, "-name" for descending, numbers of columns from 1 (negative for descending) or expressions; nulls last, or first with "name nulls first"."""
+    return df.orderBy(*[_key(df, k) for k in keys])
 
 
-def top(df: DataFrame, n: int, *keys: str) -> DataFrame:
+def top(df: DataFrame, n: int, *keys: str | int | Column) -> DataFrame:
     """The first n rows in order; each task keeps n rows, and nothing is sorted as a whole."""
     return order_by(df, *keys).limit(n)
 
 
+def top_with_ties(df: DataFrame, n: int, *keys: str | int | Column) -> DataFrame:
+    """The first n rows in order and all that equal the last of them in the keys; the bound is found by `top`, so nothing is ranked as a whole."""
+    marked = df.withColumns({f"__k{i}": _value(df, k) for i, k in enumerate(keys)})
+    order = [_key(df, k) for k in keys]
+    names = [f"__k{i}" for i in range(len(keys))]
+    last = marked.orderBy(*order).limit(n)
+    seen = last.select(*names).distinct()
+    # all rows whose keys are among those of the first n: these rows themselves, and the ties of the last one
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in names])
+    return marked.join(seen.select(*[F.col(k).alias(f"{k}s") for k in names]), same, "left_semi").select(*[f"`{c}`" for c in df.columns])
+
+
+def _value(df: DataFrame, key: str | int | Column) -> Column:
+    if isinstance(key, Column):
+        raise ValueError("ties are told by columns: name them")
+    return F.col(df.columns[abs(key) - 1] if isinstance(key, int) else key.partition(" nulls ")[0].removeprefix("-"))
+
+
+def top_by(df: DataFrame, by: Sequence[str], n: int, *keys: str | int | Column) -> DataFrame:
+    """The first n rows in order of each group; Spark keeps n rows a group before it shuffles them."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*[_key(df, k) for k in keys]))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def values(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """Rows that are written out."""
+    return spark.createDataFrame(list(rows), schema)
+
+
 def union(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows of tables whose columns agree in number and type, with the names of the first."""
     for other in others:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.session import cut
 
@@ -18,11 +23,55 @@ def put_files(files: DataFrame, key: str, data: str) -> DataFrame:
     return files.where(F.col(data).isNotNull()).groupBy(content_id(data).alias("id")).agg(F.min_by(data, key).alias("data"), F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_puts"))
 
 
+def put_tables(files: DataFrame, path: str, data: str, rule: str) -> tuple[DataFrame, DataFrame]:
+    """(sha256, data) of all contents and (path, sha256, rule) of all files; the smallest of several contents of a path counts, null ones are no files."""
+    own = files.where(F.col(data).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), content_id(data).alias("sha256"), F.col(data).alias("data"), F.col(rule).alias("rule"))
+    return own.select("sha256", "data").dropDuplicates(["sha256"]), own.groupBy("path").agg(F.min(F.struct("sha256", "rule")).alias("f")).select("path", "f.sha256", "f.rule")
+
+
+def look_up(contents: DataFrame, files: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """(path, rule, data) of the files at these paths, of all by default; a path that is no file is an error."""
+    if paths is not None:
+        files = files.where(F.col("path").isin(paths))
+        missing = set(paths) - {r.path for r in files.select("path").collect()}  # no more rows than were asked for
+        if missing:
+            raise KeyError(f"no file {', '.join(sorted(missing))}")
+    return files.join(contents, "sha256").select("path", "rule", "data")
+
+
 def directory_ids(entries: DataFrame, directory: list[str], name: str, child: str) -> DataFrame:
-    """The directory columns and id: SHA-256 over names and the bytes of the children's ids, in order of name."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("name"), F.col(child).alias("child"))))
-    packed = F.unhex(F.array_join(F.transform(listed, lambda e: F.concat(F.hex(e["name"].cast("binary")), e["child"])), ""))
-    return entries.groupBy(*directory).agg(F.sha2(packed, 256).alias("id"))
+    """The directory columns and id: SHA-256 over names and the bytes of the children's ids, in order of name.
+
+    The hash of a directory is one sequence of bytes, so a directory is one
+    task's; but it is hashed from sorted rows as they pass by, and never held.
+    """
+    rows = entries.select(*directory, F.col(name).cast("string").alias("__name"), F.col(child).alias("__child"))
+    rows = rows.repartition(*directory).sortWithinPartitions(*directory, "__name", "__child")
+    schema = T.StructType([*(rows.schema[c] for c in directory), T.StructField("id", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        now, digest = None, hashlib.sha256()
+        for batch in batches:
+            done = []
+            *keys, names, children = (c.to_pylist() for c in batch.columns)
+            for key, n, c in zip(zip(*keys), names, children):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, digest.hexdigest()))
+                    now, digest = key, hashlib.sha256()
+                digest.update(n.encode() + bytes.fromhex(c))
+            yield _rows(done, arrow)
+        if now is not None:
+            yield _rows([(*now, digest.hexdigest())], arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
 
 
 def put_directories(entries: DataFrame, store: DataFrame, directory: list[str], name: str, child: str) -> tuple[DataFrame, DataFrame]:

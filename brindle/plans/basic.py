@@ -103,10 +103,9 @@ def join_cross(t) -> DataFrame:
     return R.cross(t("nation"), t("region")).select("n_name", "r_name")
 
 
-@query("SELECT r.r_name AS a, n.n_name AS b, s.s_name AS c FROM region r, nation n, supplier s WHERE s.s_suppkey <= 10")
+@query("SELECT r.r_name AS a, n.n_name AS b, s.s_name AS c FROM region r, nation n, supplier s")
 def join_cross_three(t) -> DataFrame:
-    few = R.select(t("supplier"), F.col("s_suppkey") <= 10)
-    return R.cross(t("region"), t("nation"), few).select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), F.col("s_name").alias("c"))
+    return R.cross(t("region"), t("nation"), t("supplier")).select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), F.col("s_name").alias("c"))
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -124,18 +123,16 @@ def join_theta(t) -> DataFrame:
     return R.join(t("nation"), t("region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "r_regionkey")
 
 
-_EARLY = "(SELECT * FROM orders WHERE o_orderdate < DATE '1995-03-01')"
-
-
 def _outer(kind: str, words: str) -> None:
+    """Customers and their urgent orders: about a tenth of the customers have none, and most orders aren't urgent."""
+
     def f(t) -> DataFrame:
-        early = R.select(t("orders"), F.col("o_orderdate") < stamp("1995-03-01"))
-        found = R.join(R.select(t("customer"), F.col("c_custkey") <= 300), early, [("c_custkey", "o_custkey")], kind)
+        urgent = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderpriority") == "1-URGENT")
+        found = R.join(t("customer"), t("orders"), urgent, kind)
         return found.select("c_custkey", *(["o_orderkey"] if "semi" not in kind and "anti" not in kind else []))
 
     FOUND[f"join_{kind}"] = f
-    few = "(SELECT * FROM customer WHERE c_custkey <= 300)"
-    SQL[f"join_{kind}"] = f"SELECT c_custkey, o_orderkey FROM {few} {words} JOIN {_EARLY} ON o_custkey = c_custkey" if words not in ("SEMI", "ANTI") else f"SELECT c_custkey FROM {few} {words} JOIN {_EARLY} ON o_custkey = c_custkey"
+    SQL[f"join_{kind}"] = f"SELECT c_custkey{', o_orderkey' if words not in ('SEMI', 'ANTI') else ''} FROM customer {words} JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'"
 
 
 for _kind, _words in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI")):
@@ -235,6 +232,88 @@ def subquery_not_exists(t) -> DataFrame:
     return R.join(t("customer"), R.select(t("orders"), F.col("o_orderdate") < stamp("1997-01-01")), [("c_custkey", "o_custkey")], "left_anti").select("c_custkey")
 
 
+@query("SELECT p_partkey, p_size NOT BETWEEN 10 AND 20 AS n, p_size BETWEEN least(20, 10) AND greatest(20, 10) AS s FROM part")
+def between_forms(t) -> DataFrame:
+    """NOT BETWEEN, and BETWEEN SYMMETRIC, whose bounds come in any order."""
+    size = F.col("p_size")
+    return t("part").select("p_partkey", (~size.between(10, 20)).alias("n"), size.between(F.least(F.lit(20), F.lit(10)), F.greatest(F.lit(20), F.lit(10))).alias("s"))
+
+
+@query("SELECT p_partkey, p_size = ANY (SELECT n_nationkey FROM nation) AS some, p_size > ALL (SELECT n_nationkey FROM nation) AS every FROM part")
+def any_all(t) -> DataFrame:
+    """= ANY is membership, > ALL is more than the greatest; the sub-query has no nulls."""
+    keys = t("nation").agg(F.collect_set("n_nationkey").alias("keys"), F.max("n_nationkey").alias("most"))
+    return R.cross(t("part"), keys).select("p_partkey", F.array_contains("keys", F.col("p_size")).alias("some"), (F.col("p_size") > F.col("most")).alias("every"))
+
+
+@query("SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (NULL, 'none')) v(k, name)")
+def values_rows(t) -> DataFrame:
+    return R.values(t.spark, "k int, name string", [(1, "one"), (2, "two"), (None, "none")])
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 9) AS mean, round(avg(l_discount), 9) AS discount, count(*) AS n FROM lineitem GROUP BY ALL")
+def aggregate_avg(t) -> DataFrame:
+    """Averages, rounded since engines add doubles in different orders."""
+    found = R.aggregate(t("lineitem"), ["l_returnflag"], mean=("avg", "l_quantity"), discount=("avg", "l_discount"), n=("count", "*"))
+    return found.select("l_returnflag", F.round("mean", 9).alias("mean"), F.round("discount", 9).alias("discount"), "n")
+
+
+@query("SELECT p_brand, avg(p_size::DECIMAL(12,2))::DECIMAL(16,6) AS mean FROM part GROUP BY ALL")
+def aggregate_avg_decimal(t) -> DataFrame:
+    return R.aggregate(t("part"), ["p_brand"], mean=F.avg(money("p_size")).cast("decimal(16,6)"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")
+def limit_offset(t) -> DataFrame:
+    return R.order_by(t("customer").select("c_custkey"), "c_custkey").offset(40).limit(20)
+
+
+@query("SELECT k, place FROM (SELECT k, row_number() OVER (ORDER BY k DESC NULLS FIRST, n_name) AS place FROM (SELECT nullif(n_regionkey, 2) AS k, n_name FROM nation)) WHERE place <= 12")
+def order_nulls_first(t) -> DataFrame:
+    keyed = t("nation").select(F.nullif(F.col("n_regionkey"), F.lit(2)).alias("k"), "n_name")
+    first = R.order_by(keyed, "-k nulls first", "n_name").limit(12)
+    return first.select("k", F.row_number().over(Window.orderBy(F.col("k").desc_nulls_first(), "n_name")).cast("long").alias("place"))
+
+
+@query("SELECT p_partkey, p_size FROM part ORDER BY p_size % 7 DESC, length(p_name), p_partkey LIMIT 30")
+def order_by_expression(t) -> DataFrame:
+    return R.order_by(t("part"), (F.col("p_size") % 7).desc(), F.length("p_name"), "p_partkey").limit(30).select("p_partkey", "p_size")
+
+
+@query("SELECT p_brand, p_size FROM part ORDER BY 2 DESC, 1 LIMIT 40")
+def order_by_ordinal(t) -> DataFrame:
+    return R.order_by(t("part").select("p_brand", "p_size"), -2, 1).limit(40)
+
+
+@query("SELECT p_size FROM part WHERE p_size >= (SELECT min(p_size) FROM (SELECT p_size FROM part ORDER BY p_size DESC LIMIT 5))")
+def limit_with_ties(t) -> DataFrame:
+    """The five largest sizes, and all that equal the last of them."""
+    return R.top_with_ties(t("part").select("p_size"), 5, "-p_size")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT r_regionkey FROM region")
+def union_distinct(t) -> DataFrame:
+    return R.union(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select("s_nationkey"), t("region").select("r_regionkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(t) -> DataFrame:
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersectAll(t("supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(t) -> DataFrame:
+    return t("customer").select(F.col("c_nationkey").alias("k")).exceptAll(t("supplier").select("s_nationkey"))
+
+
+@query("SELECT n_name, o.o_orderkey FROM nation, LATERAL (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o")
+def subquery_lateral(t) -> DataFrame:
+    """The two dearest orders of every nation: a limit within a group, kept so small before its shuffle."""
+    orders = R.join(t("orders"), t("customer"), [("o_custkey", "c_custkey")])
+    dear = R.top_by(orders, ["c_nationkey"], 2, "-o_totalprice", "o_orderkey")
+    return R.join(t("nation"), dear, [("n_nationkey", "c_nationkey")]).select("n_name", "o_orderkey")
+
+
 _TEXT = """WITH busy AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT n_name, sum(n) AS orders FROM busy JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n > 10 GROUP BY n_name"""
 
@@ -261,6 +340,80 @@ def extension_cube(t) -> DataFrame:
     return t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag)::INT AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+def extension_grouping_sets(t) -> DataFrame:
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return t("lineitem").groupingSets([[flag, status], [status], []], flag, status).agg(F.count(F.lit(1)).alias("n"), F.grouping("l_returnflag").cast("int").alias("g"))
+
+
+@query("SELECT l_returnflag, true AS near FROM lineitem GROUP BY ALL")
+def extension_approximate(t) -> DataFrame:
+    """Sketches against the exact count and median: within 5 %."""
+    found = t("lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("a"), F.count_distinct("l_partkey").alias("b"), F.percentile_approx("l_quantity", 0.5, 10_000).alias("c"), F.percentile("l_quantity", 0.5).alias("d"))
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.05 * F.col(y)
+    return found.select("l_returnflag", (near("a", "b") & near("c", "d")).alias("near"))
+
+
+@query("SELECT e.event_id, p.event_id AS purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def extension_join_as_of(t) -> DataFrame:
+    """Each event with its user's last purchase up to then."""
+    bought = t("events").where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"))
+    return R.join_as_of(t("events").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts").select("event_id", "purchase")
+
+
+@query("SELECT a.event_id AS error, b.event_id AS event FROM events a JOIN events b ON b.ts >= a.ts AND b.ts < a.ts + INTERVAL 5 MINUTE WHERE a.event_type = 'error' AND a.event_id <> b.event_id")
+def extension_join_range(t) -> DataFrame:
+    """The events of all users within five minutes after an error."""
+    errors = t("events").where("event_type = 'error'").select(F.col("event_id").alias("error"), F.col("ts").alias("since"))
+    return R.join_range(errors, t("events").select(F.col("event_id").alias("event"), "ts"), "since", "ts", 300).where("error != event").select("error", "event")
+
+
+@query("""SELECT o_orderkey, abs(-o_totalprice) AS a, floor(o_totalprice)::BIGINT AS f, year(o_orderdate)::INT AS y, strftime(o_orderdate, '%Y-%m') AS m, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS days,
+upper(o_orderstatus) || '-' || lpad(o_custkey::VARCHAR, 8, '0') AS s, regexp_replace(o_orderpriority, '[0-9]-', '') AS r, string_split(o_orderpriority, '-')[1] AS first, length(o_orderpriority) AS n, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS later FROM orders""")
+def scalar_functions(t) -> DataFrame:
+    day, rank = F.col("o_orderdate"), F.col("o_orderpriority")
+    return t("orders").select(
+        "o_orderkey", F.abs(-F.col("o_totalprice")).alias("a"), F.floor("o_totalprice").alias("f"), F.year(day).alias("y"), F.date_format(day, "yyyy-MM").alias("m"), F.datediff(day.cast("date"), F.lit("1995-01-01").cast("date")).alias("days"),
+        F.concat(F.upper("o_orderstatus"), F.lit("-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("s"), F.regexp_replace(rank, "[0-9]-", "").alias("r"), F.split(rank, "-")[0].alias("first"), F.length(rank).cast("long").alias("n"), F.add_months(day.cast("date"), 1).alias("later"),
+    )
+
+
+@query("SELECT event_id, (props->>'k')::INT AS k, list_sum([x * 2 FOR x IN [1, (props->>'k')::INT] IF x > 1])::BIGINT AS doubled, map_extract(MAP {'a': value, 'b': -value}, 'b')[1] AS b FROM events")
+def nested_functions(t) -> DataFrame:
+    """JSON, arrays with lambdas and maps."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    twice = F.transform(F.filter(F.array(F.lit(1), k), lambda x: x > 1), lambda x: x * 2)
+    total = F.when(F.size(twice) > 0, F.aggregate(twice, F.lit(0).cast("long"), lambda a, x: a + x))
+    return t("events").select("event_id", k.alias("k"), total.alias("doubled"), F.element_at(F.create_map(F.lit("a"), F.col("value"), F.lit("b"), -F.col("value")), "b").alias("b"))
+
+
+@query("SELECT p_partkey, upper(p_brand[1]) || p_size AS code FROM part")
+def extension_udf(t) -> DataFrame:
+    """A function of the user's, registered by name and called from SQL text."""
+    c = Catalog(t.spark).add_dir(t.path)
+    c.function("part_code", lambda brand, size: brand.str[:1].str.upper() + size.astype(str), "string")
+    return c.sql("SELECT p_partkey, part_code(p_brand, p_size) AS code FROM part")
+
+
+@query("SELECT p_brand, max(p_size) - min(p_size) AS width FROM part GROUP BY ALL")
+def extension_udaf(t) -> DataFrame:
+    c = Catalog(t.spark).add_dir(t.path)
+    c.aggregate("width", lambda size: int(size.max() - size.min()), "int")
+    return c.sql("SELECT p_brand, width(p_size) AS width FROM part GROUP BY p_brand")
+
+
+@query("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS piece FROM nation")
+def extension_udtf(t) -> DataFrame:
+    class Pieces:
+        def eval(self, name: str):
+            for piece in name.split("_"):
+                yield (piece,)
+
+    c = Catalog(t.spark).add_dir(t.path)
+    c.table_function("pieces", Pieces, "piece string")
+    return c.sql("SELECT n_nationkey, piece FROM nation, LATERAL pieces(n_name)")
+
+
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def extension_intersect(t) -> DataFrame:
     return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))

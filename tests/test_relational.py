@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.scalar import int_divide, money, ratio, stamp
 from brindle.operators import relational as R
-from brindle.sources.catalog import Catalog, DuplicateTable, UnknownTable, write_csv, write_lines, write_parquet
+from brindle.sources.catalog import Catalog, DuplicateTable, UnknownTable, write_csv, write_json_lines, write_lines, write_parquet
 
 
 def plan(df) -> str:
@@ -20,6 +20,8 @@ def test_catalog(spark, small, tmp_path):
         c["nothing"]
     assert c.sql("SELECT count(*) AS n FROM nation").first().n == 25
     assert [r.r_name for r in c.sql("SELECT r_name FROM region ORDER BY r_name DESC LIMIT 2").collect()] == sorted((r.r_name for r in c["region"].collect()), reverse=True)[:2]
+    # braces and quotes are text
+    assert c.sql("SELECT '{x} {region}' AS a, count(*) AS n FROM region WHERE r_name NOT LIKE '%{x}%'").first() == ("{x} {region}", 5)
     c.views()
     assert spark.sql("SELECT count(*) AS n FROM region").first().n == 5
 
@@ -92,3 +94,56 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "EqualTo(l_returnflag,A)" in plan(kept)
     assert "TakeOrderedAndProject" in plan(R.top(lines.select("l_orderkey"), 3, "l_orderkey"))
     assert R.aggregate(lines, n=("count", "*")).where(F.lit(False)).count() == 0
+
+
+def test_not_in_broadcasts_no_values(spark, small):
+    lines, parts = spark.read.parquet(f"{small}/lineitem.parquet"), spark.read.parquet(f"{small}/part.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(R.not_in(parts, "p_partkey", lines.where("l_quantity < 3").select("l_partkey")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" not in p and "LeftAnti" in p
+
+
+def test_orders(spark):
+    df = spark.createDataFrame([(1, "b"), (None, "a"), (3, "c"), (3, "a"), (2, None)], "k int, s string")
+    rows = lambda *keys: [tuple(r) for r in R.order_by(df, *keys).collect()]
+    assert rows("k nulls first", "s")[0] == (None, "a") and rows("-k nulls first", "s")[:2] == [(None, "a"), (3, "a")]
+    assert rows(1, -2)[2:4] == [(3, "c"), (3, "a")] and rows(F.coalesce("k", F.lit(2)) % 3, "s")[0] == (3, "a")
+    with pytest.raises(ValueError):
+        rows(3)
+    assert sorted(map(tuple, R.top_with_ties(df, 1, "-k").collect())) == [(3, "a"), (3, "c")]
+    assert R.top_with_ties(df, 1, "k nulls first").collect() == [(None, "a")] and R.top_with_ties(df, 9, "k").count() == 5
+    assert sorted((r.k or 0) for r in R.top_by(df, ["s"], 1, "-k").collect()) == [1, 2, 3, 3]
+
+
+def test_as_of_and_range_joins(spark):
+    import random
+
+    draw = random.Random(1)
+    when = "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, t)"
+    a = spark.createDataFrame([(i, draw.choice([1, 2, None]), draw.choice([None, *range(40)])) for i in range(60)], "x int, k int, t int").selectExpr("x", "k", f"{when} as ts", "t")
+    b = spark.createDataFrame([(i, draw.choice([1, 2, None]), draw.choice([None, *range(40)])) for i in range(30)], "y int, k int, t int").selectExpr("y", "k", f"{when} as ts")
+    got = {r.x: r.y for r in R.join_as_of(a.drop("t"), b, ["k"], "ts").collect()}
+    rows = b.collect()
+    for r in a.collect():
+        before = [(o.ts, o.y) for o in rows if r.ts is not None and o.ts is not None and r.k is not None and o.k == r.k and o.ts <= r.ts]
+        assert got[r.x] == (max(before)[1] if before else None)
+    pairs = {(r.x, r.y) for r in R.join_range(a.selectExpr("x", "ts as since"), b.select("y", "ts"), "since", "ts", 7).collect()}
+    assert pairs == {(p.x, q.y) for p in a.collect() for q in rows if p.ts is not None and q.ts is not None and 0 <= (q.ts - p.ts).total_seconds() < 7}
+
+
+def test_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", None), (2, 'say "x"', 2.5)], "k int, s string, d double")
+    write_csv(df, f"{tmp_path}/one.csv")
+    write_json_lines(df, f"{tmp_path}/two.jsonl")
+    df.write.orc(f"{tmp_path}/three.orc")
+    write_lines(df.select("s"), f"{tmp_path}/four.txt")
+    c = Catalog(spark).add_dir(str(tmp_path), ("csv", "jsonl", "orc", "txt"))
+    for name in ("one", "two", "three"):
+        assert sorted(map(tuple, c[name].select("k", "s", "d").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert sorted(r.value for r in c["four"].collect()) == ["a,b", 'say "x"'] and Catalog(spark).add_dir(str(tmp_path)).names() == []
+    with pytest.raises(ValueError):
+        Catalog(spark).add("x", str(tmp_path), "xml")

@@ -71,6 +71,28 @@ def test_store_and_directories(spark):
     assert [r.dir for r in missing.collect()] == ["e"]
 
 
+def test_tables_of_contents_and_paths(spark):
+    files = spark.createDataFrame([("a/x", "one", "r1"), ("b/x", "one", "r2"), ("c", "two", "r1"), ("d", None, "r1"), (None, "three", "r1")], "p string, t string, r string")
+    contents, paths = stores.put_tables(files, "p", "t", "r")
+    assert contents.count() == 2 and paths.count() == 3
+    assert sorted(map(tuple, stores.look_up(contents, paths, ["b/x", "c"]).collect())) == [("b/x", "r2", "one"), ("c", "r1", "two")]
+    with pytest.raises(KeyError, match="d"):
+        stores.look_up(contents, paths, ["c", "d"])
+
+
+def test_large_directories_are_hashed_as_they_pass(spark):
+    """More entries than an Arrow batch holds, in one directory."""
+    n = 25_000
+    rows = spark.range(n).selectExpr("'d' as dir", "cast(id as string) as name", "sha2(cast(id as string), 256) as child")
+    want = hashlib.sha256(b"".join(k.encode() + hashlib.sha256(k.encode()).digest() for k in sorted(map(str, range(n))))).hexdigest()
+    assert stores.directory_ids(rows, ["dir"], "name", "child").collect() == [("d", want)]
+
+
+def test_edges_of_predicates():
+    columns = [["a", "b"], ["c"], ["d", "e"]]
+    assert join_orders.edges_of(columns, ["a = c", "b + c < e", "a > 3", "d = e"]) == [({1}, {2}), ({1, 2}, {3})]
+
+
 def test_merkle(spark):
     rows = [("p", "q", 1, "a"), ("p", "q", 10, "b"), ("p", "r", 2, "c"), ("s", "q", 3, "d")]
     found = {r.path: r.id for r in stores.merkle(spark.createDataFrame(rows, "x string, y string, k int, t string"), ["x", "y"], "k", "t").collect()}
@@ -130,6 +152,17 @@ def test_random_graphs_are_enumerated_whole():
         assert set(join_orders.csg_cmp_pairs(n, edges)) == want
 
 
+def test_late_events_and_exact_paths(spark, tmp_path):
+    """A file beside the named one isn't read; what comes later than the watermark is dropped from closed windows."""
+    from brindle.streaming import windows
+
+    df = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-03 00:00:00", "a", 1.0)], "event_id long, ts string, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "event_type", "value")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df.write.parquet(f"{tmp_path}/events_old.parquet")
+    found = windows.run_once(windows.tumbling(windows.source(spark, f"{tmp_path}/events.parquet")), "append").collect()
+    assert [(str(r.start), r.n) for r in found] == [("2024-01-01 00:00:00", 1)]  # the second window is still open
+
+
 def test_streams_agree_with_batches(spark, small):
     from brindle.plans import siblings
 
