@@ -7,12 +7,11 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontaminate, lang_id, line_dedup, mixing, near_dup
-from brindle.llm.shared import checkpoint_folder, release, table
+from brindle.llm.shared import release, table
+from brindle.session import remove, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's table. Those of earlier stages are deleted as soon as the next one is written."""
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's table. Those of earlier stages are deleted as soon as the next one is written; it lies in the shared folder, and the caller deletes it."""
+    folder = scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         now = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(now)
         docs = spark.read.parquet(now)
         if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, before)
         before = now
         release(spark)
     return docs
