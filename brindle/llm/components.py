@@ -55,19 +55,18 @@ def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([found.find(x) for x in nodes], pa.int64())], names=["a", "b"])
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges (a, b) with the least neighbour m of a; it is aggregated before the shuffle, and the join may split a node of many edges."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    up = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    hung = _with_least(up)
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over edges (a, b), b < a.
+
+    The least node in reach of a node is the least of its smaller neighbours, or
+    the node itself. So a large-star step moves the end b of an edge to the least
+    smaller neighbour of b: a hub, which is small and has many larger neighbours,
+    is aggregated and joined, never gathered. A node has few smaller neighbours,
+    one from each task's forest at most, and a small-star step gathers those.
+    """
+    least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    large = edges.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"))
+    hung = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
     return hung.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
 
 
@@ -83,11 +82,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(forest.mapInArrow(_local_forest, "a long, b long").distinct())
     before = None
     while True:
-        last, now = now, cut(_small_star(_large_star(now)))
+        last, now = now, cut(_round(now))
         discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        release(edges.sparkSession)
         if state == before:
+            release(edges.sparkSession)
             break
         before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

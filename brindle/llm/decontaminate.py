@@ -27,27 +27,40 @@ from .textvec import Chars, chunks
 PHRASE = 8
 #: Items of fewer words are no evidence of a leak and are not searched.
 SHORTEST = 4
-#: A broadcast holds at most so many phrases; a larger benchmark is sent in several, each with an index of its own.
+#: A broadcast holds at most so many words and those of one more item, 12 bytes each; a larger benchmark is sent in several, of which a worker has one in memory at a time.
 SLICE = 1_000_000
 
 
 class Phrases:
-    """Distinct phrases over their own vocabulary, by length."""
+    """The phrases of some items over their own vocabulary: the words of the items, and where the phrases of each length begin."""
 
     def __init__(self, items: list[str | None], length: int = PHRASE, shortest: int = SHORTEST):
         texts = [x for x in items if x]
-        found: dict[int, list[np.ndarray]] = {}
+        kept, begins, at = [], {}, 0
         if texts:
             doc, _, _, words = Chars(texts).words()
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            for i, j in zip(cuts[:-1], cuts[1:]):
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if j - i >= shortest:
                     k = min(length, j - i)
-                    found.setdefault(int(k), []).append(np.lib.stride_tricks.sliding_window_view(words[i:j], k))
-        by = {k: np.unique(np.concatenate(v), axis=0) for k, v in found.items()}
-        self.vocabulary = np.unique(np.concatenate([x.reshape(-1) for x in by.values()])) if by else np.zeros(0, dtype=np.uint64)
-        self.by_length = {k: np.searchsorted(self.vocabulary, x) + 2 for k, x in by.items()}
-        self.shortest = min(by, default=0)
+                    kept.append(words[i:j])
+                    begins.setdefault(k, []).append(np.arange(at, at + j - i - k + 1, dtype=np.int32))
+                    at += j - i
+        every = np.concatenate(kept) if kept else np.zeros(0, dtype=np.uint64)
+        self.vocabulary, places = np.unique(every, return_inverse=True)
+        self.words = (places + 2).astype(np.int32)
+        self.begins = {k: np.concatenate(v) for k, v in begins.items()}
+        self.shortest = min(begins, default=0)
+
+    def among(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
+        """Distinct phrases by length, a row of symbols each, of those all of whose words are flagged."""
+        known = np.concatenate(([0], np.cumsum(symbols[self.words])))
+        out = {}
+        for k, begin in self.begins.items():
+            begin = begin[known[begin + k] - known[begin] == k]
+            if len(begin):
+                out[k] = np.unique(self.words[begin[:, None] + np.arange(k)], axis=0).astype(np.int64)
+        return out
 
 
 def word_hits(phrases: Phrases, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -66,11 +79,16 @@ def word_hits(phrases: Phrases, doc: np.ndarray, words: np.ndarray) -> np.ndarra
     where = np.flatnonzero(keep)
     if not len(where):
         return hit[:-1].astype(bool)
+    symbols = np.zeros(len(phrases.vocabulary) + 2, dtype=bool)
+    symbols[at[where] + 2] = True
+    searched = phrases.among(symbols)
+    if not searched:
+        return hit[:-1].astype(bool)
     breaks = np.flatnonzero(start[where])
     text = np.insert(at[where] + 2, breaks, 1)  # 1 separates stretches
     word = np.insert(where, breaks, -1)
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    for k, patterns in phrases.by_length.items():
+    for k, patterns in searched.items():
         low, high = index.search(patterns)
         size = high - low
         rows = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
@@ -80,8 +98,8 @@ def word_hits(phrases: Phrases, doc: np.ndarray, words: np.ndarray) -> np.ndarra
     return np.cumsum(hit[:-1]) > 0
 
 
-def spans(sets: list[Phrases], texts: list[str | None]) -> list[list[tuple[int, int]]]:
-    """Of every text, the ascending disjoint [start, end) character ranges to remove."""
+def spans(sent: list, texts: list[str | None]) -> list[list[tuple[int, int]]]:
+    """Of every text, the ascending disjoint [start, end) character ranges to remove; sent are the broadcasts of the phrases."""
     docs, begins, ends, hashes, origins = [], [], [], [], []
     filled = [t or "" for t in texts]
     for i, j in chunks(filled):
@@ -95,8 +113,10 @@ def spans(sets: list[Phrases], texts: list[str | None]) -> list[list[tuple[int,
         return out
     doc, begin, end, words = (np.concatenate(x) for x in (docs, begins, ends, hashes))
     hit = np.zeros(len(words), dtype=bool)
-    for phrases in sets:
-        hit |= word_hits(phrases, doc, words)
+    for shared in sent:
+        hit |= word_hits(shared.value, doc, words)
+        if len(sent) > 1:
+            shared.__dict__.pop("_value", None)  # it is read again from the local file
     at = np.flatnonzero(hit)
     if len(at):
         new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])))
@@ -134,16 +154,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, shortest:
 
     Null and empty texts hold none; a null doc_id is carried along; repeated rows
     are searched one by one; an empty benchmark or table gives no row. Words
-    compare in lower case, and what lies between them doesn't count. Columns
-    other than doc_id and text are not read.
+    compare in lower case, and what lies between them doesn't count. Phrases that
+    overlap make one span. A very long text is a shard of its own. Columns other
+    than doc_id and text are not read.
     """
     sent = send(benchmark, length, shortest)
 
     def make():
-        sets = [b.value for b in sent]
-
         def f(ids: list, texts: list) -> dict | None:
-            found = [(i, t, s) for i, t, s in zip(ids, texts, spans(sets, texts)) if s]
+            found = [(i, t, s) for i, t, s in zip(ids, texts, spans(sent, texts)) if s]
             if not found:
                 return None
             return {"doc_id": [i for i, _, _ in found], "spans": [[{"start": a, "end": b} for a, b in s] for _, _, s in found], "clean_text": [without(t, s) for _, t, s in found]}
@@ -156,26 +175,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, shortest:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, shortest: int = SHORTEST) -> DataFrame:
     """docs with the leaked spans cut out of the text, in the same columns; a document without a word left goes, n_chars follows the text.
 
-    Documents without a leak, and rows with null text, stay as they are.
+    Documents without a leak, and rows with null or empty text or null doc_id, are
+    treated as in `leaks`; those without a leak stay as they are, repeated rows
+    too. Columns of docs may have any names but "__brindle_clean".
     """
     sent = send(benchmark, length, shortest)
 
     @F.arrow_udf("string")
     def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sets = [b.value for b in sent]
         for batch in batches:
             out: list[str | None] = []
             for shard in pieces(batch):
                 texts = shard.to_pylist()
-                out += [without(t, s) if s else None for t, s in zip(texts, spans(sets, texts))]
+                out += [without(t, s) if s else None for t, s in zip(texts, spans(sent, texts))]
             yield pa.array(out, type=pa.string())
         settle()
 
     # as if not deterministic, so that the filter isn't moved below it and the search made twice
-    marked = docs.withColumn("__clean", cleaned.asNondeterministic()("text"))
-    left = marked.where("__clean is null or __clean rlike '[\\\\p{L}\\\\p{N}]'")
-    new = F.coalesce("__clean", "text")
-    columns = {"text": new} | ({"n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    marked = docs.withColumn("__brindle_clean", cleaned.asNondeterministic()("text"))
+    left = marked.where("__brindle_clean is null or __brindle_clean rlike '[\\\\p{L}\\\\p{N}]'")
+    new = F.coalesce("__brindle_clean", "text")
+    columns = {"text": new} | ({"n_chars": F.when(F.col("__brindle_clean").isNull(), F.col("n_chars")).otherwise(F.length("__brindle_clean").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return replaced(left, columns).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -227,6 +227,7 @@ def keep(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     equal texts get equal scores; an empty table gives no row. Labels that are
     null, or of documents that aren't there, are ignored; without a good document
     no forest grows and everything that has a word is kept, with a null score.
+    A very long text is described as a whole; a score at the limit is anomalous.
     Columns other than doc_id and text are not read.
     """
     marks = labelled(labels)

@@ -74,3 +74,17 @@ def test_rest_in_any_script_stays(spark):
     rests = ["чистый текст", "καθαρό κείμενο", "نص نظيف", "干净的文字", "٣٤", "clean"]
     docs = frame(spark, [*[(i, f"{t} {ITEMS[0]}", "xx", "s") for i, t in enumerate(rests)], (50, f"… {ITEMS[0]} — _", "xx", "s")])
     assert {r.doc_id: r.text.strip() for r in decontaminate.remove_leaks(docs, bench(spark, ITEMS)).collect()} == dict(enumerate(rests))
+
+
+def test_phrases_are_narrowed_to_the_words_of_the_shard():
+    """Only phrases all of whose words occur are searched, each once."""
+    import numpy as np
+
+    items = ["one two three four five", "five four three two", "one two three four five", "a b"]
+    p = decontaminate.Phrases(items, 4, 3)
+    every = p.among(np.ones(len(p.vocabulary) + 2, dtype=bool))
+    assert {k: len(v) for k, v in every.items()} == {4: 3} and p.shortest == 4
+    some = np.ones(len(p.vocabulary) + 2, dtype=bool)
+    some[every[4][0][0]] = False
+    assert sum(map(len, p.among(some).values())) == sum(every[4][0][0] not in row for row in every[4])
+    assert decontaminate.Phrases([None, "", "x y"]).among(np.ones(2, dtype=bool)) == {}

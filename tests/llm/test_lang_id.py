@@ -98,3 +98,55 @@ def test_every_gram_counts(spark, monkeypatch):
     monkeypatch.undo()
     again = lang_id.identify(docs).collect()
     assert len(again) == len(found) > 0 and np.allclose([found[r.doc_id] for r in again], [r.cross_entropy for r in again], rtol=1e-5)
+
+
+def test_limits_come_from_held_out_documents(spark, small, monkeypatch):
+    """New documents are rejected about as often as the calibrating ones, which took no part in training."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").where("n_chars >= 100").limit(2400).select("doc_id", "text", "lang").cache()
+    monkeypatch.setattr(lang_id, "HELD_FROM", 200)
+    old, new = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    trains, calibrates = lang_id.roles(old)
+    marked = old.select(trains.alias("t"), calibrates.alias("c"), "lang").groupBy("lang").agg(F.count_if("t").alias("t"), F.count_if("c").alias("c"), F.count_if(F.col("t") & F.col("c")).alias("both"), F.count("*").alias("n")).collect()
+    for r in marked:
+        assert (r.both, r.t + r.c) == (0, r.n) if r.n >= 200 else (r.t, r.c) == (r.n, r.n)
+    models = lang_id.train(old.where(trains))
+    score = lang_id.scorer(models)
+    scored = lambda df: df.select(F.col("lang").alias("label"), score("text").alias("s")).select("label", "s.*")
+    found = lang_id.limits(scored(old.where(calibrates)), 0.95)
+    got = scored(new).withColumn("ok", lang_id.accepts(F.struct("lang", "cross_entropy", "margin"), found)).where("lang = label").agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    docs.unpersist()
+    # two limits, of 5 % each
+    assert 0.8 <= got <= 0.99
+
+
+def test_scores_are_alike_without_the_joint_array(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    texts = [r.text for r in docs.collect()] + ["nothing like it: qxqxqx"]
+    with_it = lang_id.train(docs).entropies(texts)
+    monkeypatch.setattr(lang_id, "JOINT", 0)
+    without = lang_id.train(docs)
+    without.slices[0].value._make()
+    assert not len(without.slices[0].value.joint[0]) and (without.entropies(texts) == with_it).all()
+
+
+def test_the_identified_language_is_written(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    wrong = docs.where("lang = 'en' and n_chars > 300").limit(3)
+    ids = [r.doc_id for r in wrong.collect()]
+    from pyspark.sql import functions as F
+
+    kept = lang_id.keep_identified(docs.withColumn("lang", F.when(F.col("doc_id").isin(ids), "de").otherwise(F.col("lang"))))
+    assert {r.lang for r in kept.where(F.col("doc_id").isin(ids)).collect()} == {"en"}
+
+
+def test_ties():
+    """Two models that are the same: the first one by name, with no margin."""
+    packed, n = np.array([77, 99], dtype=U64), np.array([2, 1])
+
+    class Held:
+        value = lang_id.Slice([lang_id.Whole().add(packed, n).close() for _ in range(2)], np.array([0, 0, 1, 1]), np.tile(packed, 2), np.tile(n, 2), True)
+
+    models = lang_id.Models(["aa", "bb"], np.array([32, 97]), np.array([0], dtype=U64), [Held()])
+    assert models.score(["aaa", ""]) == {"lang": ["aa", None], "cross_entropy": [models.entropies(["aaa"])[0, 0], None], "margin": [0.0, None]}

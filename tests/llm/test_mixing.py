@@ -59,3 +59,17 @@ def test_frame(spark):
     assert mixing.mixed(docs, budget=0.0).count() == 0
     with pytest.raises(ValueError):
         mixing.slices(docs, block=0)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Twice the tokens: no more than about twice the time, since a text is cut into tokens once."""
+    import time
+
+    took = []
+    for n in (20_000, 160_000, 320_000):
+        docs = spark.range(1).selectExpr("1L as doc_id", f"repeat('word ', {n}) as text", "'src1' as source").checkpoint()
+        began = time.perf_counter()
+        rows = mixing.mixed(docs, budget=1.0).agg({"n_tokens": "sum", "block": "count"}).first()
+        took.append(time.perf_counter() - began)
+        assert rows["sum(n_tokens)"] == n
+    assert took[2] < 3 * took[1] + 2

@@ -52,3 +52,37 @@ def test_frame(spark):
     assert quality.keep(empty(spark), labels).count() == 0
     unlabelled = quality.keep(docs, labels.where("false")).collect()
     assert all(r.score is None for r in unlabelled) and len(unlabelled) == docs.where("text rlike '\\\\w'").count()
+
+
+def test_what_is_kept_against_plain_python(spark):
+    """The whole of it: statistics, trees walked one by one, the limit with the best F1 over all bins, the documents below it."""
+    rows = [(i, prose(i, 30 + i % 40), "en", "s") for i in range(120)] + [(300 + i, "### 12 " * (5 + i) + prose(i, 20), "en", "s") for i in range(12)] + [(500, "", "en", "s")]
+    docs = frame(spark, rows)
+    marks = [(i, 1) for i in range(100)] + [(300 + i, 0) for i in range(8)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.keep(docs, labels).collect()}
+
+    usual, forest = quality.grow(quality.described(docs), quality.labelled(labels))
+    scores = {}
+    for i, text, _, _ in rows:
+        stats = quality.statistics([text])[0].astype(np.float32).astype(float)
+        if np.isnan(stats).any():
+            continue
+        x = [u + (s - u) * stats[-1] / (stats[-1] + quality.PRIOR_WORDS) for u, s in zip(usual, stats)]
+        depth = 0.0
+        for what, value, child, path in forest.trees:
+            at = 0
+            while what[at] >= 0:
+                at = child[at] + (x[what[at]] >= value[at])
+            depth += path[at]
+        scores[i] = 2 ** (-depth / len(forest.trees) / forest.normal)
+    bad = {i for i, good in marks if not good}
+    bins = sorted({int(scores[i] * quality.BINS) for i, _ in marks}, reverse=True)
+    best = (0.0, None)
+    for k, b in enumerate(bins):
+        above = [i for i, _ in marks if int(scores[i] * quality.BINS) >= b]
+        f1 = 2 * len(bad & set(above)) / (len(bad) + len(above))
+        if f1 > best[0]:
+            best = f1, (b + bins[k + 1] + 1) / 2 / quality.BINS if k + 1 < len(bins) else b / quality.BINS
+    want = {i: s for i, s in scores.items() if s < best[1]}
+    assert set(found) == set(want) and 100 <= len(want) < len(scores) and np.allclose([found[i] for i in want], list(want.values()))
