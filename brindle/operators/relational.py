@@ -95,13 +95,20 @@ def _struct_of(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 
 
+def _micros(df: DataFrame, c: str) -> Column:
+    """Microseconds since 1970, in no time zone for stamps that have none."""
+    if isinstance(df.schema[c].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    return F.unix_micros(F.col(c))
+
+
 def join_range(left: DataFrame, right: DataFrame, start: str, time: str, seconds: int) -> DataFrame:
     """Pairs where right's time lies in [start, start + seconds), by an equi-join on buckets of `seconds`: an interval touches two of them."""
     _distinct_names(left, right)
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
-    first = bucket(start)
+    first = F.floor(_micros(left, start) / (seconds * 1_000_000)).cast("long")
     spread = left.withColumn("__bucket", F.explode(F.array(first, first + 1)))
-    met = spread.join(right.withColumn("__own", bucket(time)), F.col("__bucket") == F.col("__own"))
+    own = F.floor(_micros(right, time) / (seconds * 1_000_000)).cast("long")
+    met = spread.join(right.withColumn("__own", own), F.col("__bucket") == F.col("__own"))
     return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(start) + F.expr(f"interval {seconds} seconds"))).drop("__bucket", "__own")
 
 

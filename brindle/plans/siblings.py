@@ -144,6 +144,13 @@ def format_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reread(spark, sf_dir, "supplier", "orc", lambda df, path: df.write.orc(path))
 
 
+def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a table as lines of text."""
+    path = f"{scratch(spark, 'format')}/nation.txt"
+    write_lines(table(spark, sf_dir, "nation"), path, "|")
+    return Catalog(spark).add("nation", path, "txt")
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.run_once(windows.tumbling(windows.source(spark, f"{sf_dir}/events.parquet")), "update", ("start", "event_type"))
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
@@ -176,7 +183,7 @@ def stream_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLANS = (
     chunk_frequency, content_store, content_tables, directory_store, merkle_tree, expression_values, legal_words, tree_paths, alias_expansion, html_tables, page_tables, json_kinds, join_order_pairs, join_order_predicates,
-    format_csv, format_json_lines, format_orc, stream_tumbling, stream_sliding, stream_sessions, stream_distinct, stream_expressions,
+    format_csv, format_json_lines, format_orc, format_text, stream_tumbling, stream_sliding, stream_sessions, stream_distinct, stream_expressions,
 )
 
 
@@ -227,6 +234,7 @@ ORACLES = {
     "format_csv": "FROM customer",
     "format_json_lines": "FROM part",
     "format_orc": "FROM supplier",
+    "format_text": "SELECT n_nationkey || '|' || n_name || '|' || n_regionkey AS value FROM nation",
     "stream_sliding": """SELECT strftime(s, '%Y-%m-%d %H') AS since, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DECIMAL(24,4) AS total
         FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR FOR k IN range(4)]) AS s FROM events) GROUP BY ALL""",
     "stream_distinct": "SELECT event_type, count(*) AS n FROM events GROUP BY ALL",
