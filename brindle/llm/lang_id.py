@@ -31,7 +31,7 @@ BITS = 11
 ALPHABET = (1 << BITS) - 2
 #: All 5-grams are kept. A slice of the models holds about so many of them, of all languages; a task has one slice in memory at a time.
 SLICE_GRAMS = 1_500_000
-#: Up to so many probabilities (5-grams times languages), a task joins the models' 5-grams in one array; beyond, it asks each model.
+#: Up to so many probabilities (5-grams times languages), a task joins the models' 5-grams in one array; beyond, it asks each model, with the same result.
 JOINT = 20_000_000
 #: Of the documents that get the language they are labelled with, so large a share is accepted.
 ACCEPTED = 0.999

@@ -284,14 +284,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     starred = cut(stars(sketches(docs).select("h", F.explode("bands").alias("k")), "k", "h"))
-    release(spark)
     pairs = cut(starred.select("a", "b").distinct())
     # every pair to come is one of lines that share a bucket: their texts are fetched once, and only theirs
     nodes = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     texts = cut(texts_of(docs, nodes).join(nodes, "h"))
     release(spark)
     edges = cut(verified(pairs, texts, threshold))
-    release(spark)
     roots = cut(components(edges))
     buckets = members(starred).select(F.col("k").bitwiseAND(F.lit(~PART)).alias("k"), "n").distinct()
     rest = cut(open_pairs(buckets, "k", "n", roots, pairs))
