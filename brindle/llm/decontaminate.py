@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import map_batches, pieces, replaced, settle, table
+from .shared import bound_batches, map_batches, pieces, replaced, settle, table
 from .textvec import Chars, chunks
 
 PHRASE = 8
@@ -112,6 +112,7 @@ def spans(sent: list, texts: list[str | None]) -> list[list[tuple[int, int]]]:
     if not docs:
         return out
     doc, begin, end, words = (np.concatenate(x) for x in (docs, begins, ends, hashes))
+    del docs, begins, ends, hashes
     hit = np.zeros(len(words), dtype=bool)
     for shared in sent:
         hit |= word_hits(shared.value, doc, words)
@@ -179,6 +180,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, length: int = PHRASE, sh
     treated as in `leaks`; those without a leak stay as they are, repeated rows
     too. Columns of docs may have any names but "__brindle_clean".
     """
+    bound_batches(docs.sparkSession)
     sent = send(benchmark, length, shortest)
 
     @F.arrow_udf("string")

@@ -36,6 +36,16 @@ def release(spark: SparkSession) -> None:
 PIECE = 4_000_000
 
 
+#: The session's setting for the bytes of a batch that Spark sends to Python, and what the operators set it to where the session doesn't.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of BATCH bytes and one row more: by rows alone, 10,000 documents are one, which an executor holds several times for each of its cores, outside of the heap. A session that sets a size keeps it."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def pieces(batch):
     """Slices of a record batch or an array."""
     n = batch.num_rows if isinstance(batch, pa.RecordBatch) else len(batch)
@@ -59,6 +69,7 @@ def map_batches(df: DataFrame, columns: list, schema: str | T.StructType, make:
     The function returns a dict of equally long columns in the order of the
     schema, or None where a batch yields no row.
     """
+    bound_batches(df.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = schema.names
 

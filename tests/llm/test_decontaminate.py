@@ -1,6 +1,10 @@
 import re
+from collections.abc import Iterator
 
-from brindle.llm import decontaminate
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate, shared
 
 from .helpers import AWKWARD, empty, frame, prose
 
@@ -88,3 +92,31 @@ def test_phrases_are_narrowed_to_the_words_of_the_shard():
     some[every[4][0][0]] = False
     assert sum(map(len, p.among(some).values())) == sum(every[4][0][0] not in row for row in every[4])
     assert decontaminate.Phrases([None, "", "x y"]).among(np.ones(2, dtype=bool)) == {}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long documents reach a worker in batches of a few MB, whichever way they go; a size that the session sets is kept."""
+    docs = frame(spark, [(i, "word " * 20_000, "en", "s") for i in range(120)]).coalesce(1)
+    before = spark.conf.get(shared.BATCH_SETTING, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    @F.arrow_udf("long")
+    def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), type=pa.int64())
+
+    try:
+        spark.conf.unset(shared.BATCH_SETTING)
+        decontaminate.remove_leaks(docs, docs.limit(1))
+        mapped, scored = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()], [r.n for r in docs.select(size("text").alias("n")).collect()]
+        assert sum(mapped) > 12_000_000 and max(mapped + scored) <= shared.BATCH + 300_000
+        spark.conf.set(shared.BATCH_SETTING, "7000000")
+        decontaminate.remove_leaks(docs, docs.limit(1))
+        assert spark.conf.get(shared.BATCH_SETTING) == "7000000"
+    finally:
+        spark.conf.unset(shared.BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(shared.BATCH_SETTING, before)
