@@ -102,14 +102,8 @@ def star_edges(buckets: DataFrame, key: str, node: str) -> DataFrame:
     return buckets.select(F.col(key).alias("k"), F.col(node).alias("a")).join(several, "k").where("a != lo").select("a", F.col("lo").alias("b")).distinct()
 
 
-def stars(buckets: DataFrame, key: str, node: str) -> DataFrame:
-    """(k, a, b) of every bucket with several nodes: each other node a and the smallest node b. One shuffle, one row a node; a bucket is one task's."""
-    low = F.min(node).over(Window.partitionBy(key))
-    return buckets.select(F.col(key).alias("k"), F.col(node).alias("a"), low.alias("b")).where("a != b")
-
-
 def members(starred: DataFrame) -> DataFrame:
-    """(k, n) of the buckets that `stars` kept."""
+    """(k, n) of the buckets given as (k, a, b), each other node a and the smallest node b."""
     return starred.select("k", F.col("a").alias("n")).union(starred.select("k", F.col("b").alias("n"))).distinct()
 
 

@@ -15,7 +15,7 @@ similarity 0.75 becomes a candidate with probability 0.977, one of 0.8 with 0.99
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components, members, open_pairs, stars
-from .shared import bitmap, cut, long_lists, map_batches, maybe_in, parted, release, replaced, settle, table
+from .components import components, members, open_pairs
+from .shared import bitmap, bound_batches, cut, long_lists, map_batches, maybe_in, parted, release, replaced, settle, table
 from .textvec import U64, Chars, chunks, counted, mix, powers, signed
 
 SHINGLE = 7
@@ -41,6 +41,12 @@ HOT = 16
 MET = 1_000_000
 #: The bits of a bucket's key that number its parts.
 PART = (1 << 16) - 1
+#: The upper bits of a bucket's key name a range of keys; a task sorts the buckets of one such range at a time.
+RANGE_BITS = 12
+#: A task sends its pairs in batches of about so many.
+SENT = 50_000
+#: The shingles of a line fall into so many bins where a cheap bound on a similarity is wanted.
+BOUND_BINS = 1024
 _WORD = re.compile(r"[^\W_]")
 
 
@@ -90,7 +96,8 @@ def filled(own: np.ndarray) -> np.ndarray:
     row, bin_ = np.nonzero(free & ~free.all(axis=1)[:, None])
     k = 0
     while len(row):
-        other = (mix((bin_ + 1000 * k + 77 * (row % PASSES) + 1).astype(U64)) % U64(BINS)).astype(np.int64)
+        lender = (mix((np.arange(BINS) + 1000 * k + 77 * np.arange(PASSES)[:, None] + 1).astype(U64)) % U64(BINS)).astype(np.int64)
+        other = lender[row % PASSES, bin_]
         there = ~free[row, other]
         out[row[there], bin_[there]] = rows[row[there], other[there]]
         row, bin_, k = row[~there], bin_[~there], k + 1
@@ -121,11 +128,14 @@ def split(h: np.ndarray, keys: np.ndarray, hot: int = HOT) -> pa.ListArray:
     """
     n, bands = keys.shape
     flat = (keys & ~U64(PART)).reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    size = np.diff(np.append(starts, len(flat)))
+    ordered = np.sort(flat)
+    crowded = np.unique(ordered[hot - 1 :][ordered[hot - 1 :] == ordered[: max(len(ordered) - hot + 1, 0)]])
+    within = np.flatnonzero(np.isin(flat, crowded)) if len(crowded) else np.zeros(0, dtype=np.int64)
+    order = within[np.argsort(flat[within], kind="stable")]
+    starts = np.searchsorted(flat[order], crowded)
+    size = np.diff(np.append(starts, len(order)))
     leaders, parts = [], []
-    for b in np.flatnonzero(size >= hot):
+    for b in range(len(crowded)):
         own = order[starts[b] : starts[b] + size[b]]
         leader = own[np.argmin(h[own // bands])]
         part = flat[leader] | U64(int(mix(h[leader // bands : leader // bands + 1].astype(U64))[0]) % PART + 1)
@@ -149,11 +159,25 @@ def sets(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(items), np.cumsum(np.concatenate(counts))
 
 
+def apart(a: np.ndarray, b: np.ndarray, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each pair of lines, at least so many shingles are in one of them only."""
+    size = np.diff(starts)
+    bins = np.zeros((len(size), BOUND_BINS), dtype=bool)
+    bins[np.repeat(np.arange(len(size)), size), (items & U64(BOUND_BINS - 1)).astype(np.int64)] = True
+    packed = np.packbits(bins, axis=1).view(U64)
+    return np.bitwise_count(packed[a] ^ packed[b]).sum(axis=1, dtype=np.int64)
+
+
 def jaccards(a: np.ndarray, b: np.ndarray, items: np.ndarray, starts: np.ndarray, threshold: float = 0.0) -> np.ndarray:
     """Exact Jaccard similarity of each pair of lines, given by their numbers; 0 where their sizes alone rule the threshold out."""
     size = np.diff(starts)
     out = np.zeros(len(a))
     todo = np.flatnonzero(np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))
+    if threshold > 0 and len(todo):
+        # every bin that one line of a pair has alone holds a shingle that the other lacks
+        least = apart(a[todo], b[todo], items, starts)
+        total = size[a[todo]] + size[b[todo]]
+        todo = todo[total - least >= threshold * (total + least)]
     cost = np.cumsum(size[a[todo]] + size[b[todo]])
     for own in np.split(todo, np.searchsorted(cost, np.arange(200_000, cost[-1] if len(cost) else 0, 200_000))):
         if not len(own):
@@ -189,7 +213,7 @@ def taking_part(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(h, bands) of the lines; a task skips a line that it has met."""
+    """(part, k, h): buckets and lines of equal positions, 8 bytes each, packed by ranges of k; a task skips a line that it has met."""
 
     def make():
         met: set[int] = set()
@@ -206,11 +230,78 @@ def sketches(docs: DataFrame) -> DataFrame:
                 return None
             listed, h = [listed[k] for k in new], h[new]
             own = [minima(*char_shingles(listed[i:j]), j - i) for i, j in chunks(listed, CHUNK)]
-            return {"h": h, "bands": split(h, band_keys(filled(np.concatenate(own))))}
+            return packed(h, split(h, band_keys(filled(np.concatenate(own)))))
 
         return f
 
-    return map_batches(taking_part(docs), ["text"], "h long, bands array<long>", make)
+    return map_batches(taking_part(docs), ["text"], "part int, k binary, h binary", make)
+
+
+def packed(h: np.ndarray, buckets: pa.ListArray) -> dict:
+    """A row for each range of bucket keys: the buckets and the lines in them, as bytes."""
+    k, of = buckets.flatten().to_numpy(), np.repeat(h, buckets.value_lengths().to_numpy())
+    part = (k.view(U64) >> U64(64 - RANGE_BITS)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    ends = pa.py_buffer(np.append(starts, len(part)).astype(np.int32) * np.int32(8))
+    return {"part": part[starts].astype(np.int32)} | {name: pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(x[order])]) for name, x in (("k", k), ("h", of))}
+
+
+def starred_lines(k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, a, b) of every bucket with several lines: each other line a and the smallest line b."""
+    order = np.argsort(k)
+    k = k[order]
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(starts, len(k)))
+    several = np.repeat(size > 1, size)
+    k, h, size = k[several], h[order[several]], size[size > 1]
+    if not len(k):
+        return k, h, h
+    low = np.repeat(np.minimum.reduceat(h, np.cumsum(size) - size), size)
+    other = h != low
+    return k[other], h[other], low[other]
+
+
+def starred(sketched: DataFrame) -> DataFrame:
+    """(k, a, b) of every bucket of `sketches` with several lines; the rows of a range of keys meet in one task, which has one range at a time in memory."""
+
+    bound_batches(sketched.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["k", "a", "b"])
+            made.clear()
+            return out
+
+        def close(ks: list, hs: list) -> None:
+            found = starred_lines(*(np.frombuffer(b"".join(x), dtype=np.int64) for x in (ks, hs)))
+            if len(found[0]):
+                made.append(found)
+
+        now, ks, hs = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            k, h = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, j in zip(cuts, cuts[1:]):
+                if part[i] != now:
+                    close(ks, hs)
+                    now, ks, hs = part[i], [], []
+                ks += k[i:j]
+                hs += h[i:j]
+                if sum(len(x[0]) for x in made) >= SENT:
+                    yield send()
+        close(ks, hs)
+        if made:
+            yield send()
+        settle()
+
+    return sketched.repartition("part").sortWithinPartitions("part").mapInArrow(run, "k long, a long, b long")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,15 +374,15 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     row. Other columns of docs are not read, whatever their names.
     """
     spark = docs.sparkSession
-    starred = cut(stars(sketches(docs).select("h", F.explode("bands").alias("k")), "k", "h"))
-    pairs = cut(starred.select("a", "b").distinct())
+    linked = cut(starred(sketches(docs)))
+    pairs = cut(linked.select("a", "b").distinct())
     # every pair to come is one of lines that share a bucket: their texts are fetched once, and only theirs
     nodes = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     texts = cut(texts_of(docs, nodes).join(nodes, "h"))
     release(spark)
     edges = cut(verified(pairs, texts, threshold))
     roots = cut(components(edges))
-    buckets = members(starred).select(F.col("k").bitwiseAND(F.lit(~PART)).alias("k"), "n").distinct()
+    buckets = members(linked).select(F.col("k").bitwiseAND(F.lit(~PART)).alias("k"), "n").distinct()
     rest = cut(open_pairs(buckets, "k", "n", roots, pairs))
     if not rest.isEmpty():
         edges = cut(edges.union(verified(rest, texts, threshold)))
@@ -316,6 +407,7 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Ties, repeated rows and very long texts are those of `removed_lines`. Columns
     of docs may have any names but those that begin with "__brindle_".
     """
+    bound_batches(docs.sparkSession)
     gone = removed_lines(docs, threshold).groupBy(F.col("doc").alias("__brindle_doc"), F.col("version").alias("__brindle_version")).agg(F.collect_set("line_no").alias("__brindle_lines"))
     gone = cut(gone.withColumn("__brindle_key", F.xxhash64("__brindle_doc", "__brindle_version")))
 

@@ -94,7 +94,7 @@ class Chars:
         self.n = len(texts)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=self.n)
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
-        joined = "".join(x for t in texts for x in (t, "\n"))
+        joined = "\n".join([*texts, ""])
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
     def flags(self, kind: str) -> np.ndarray:

@@ -144,3 +144,25 @@ def test_removal(spark):
     assert {None, 900, 901, 902, 903, 908, 909, 910} <= set(rest) and rest[908] == AWKWARD[11][1]
     assert out.where("doc_id = 905").count() in (1, 2)
     assert line_dedup.drop_lines(empty(spark)).count() == 0
+
+
+def test_buckets_travel_packed(spark):
+    """A range of bucket keys is one row of a piece, and its buckets give the pairs that grouping by key gives."""
+    rows = corpus() + [(100 + i, "\n".join(prose(5000 + 40 * i + k, 9) for k in range(40)), "en", "s") for i in range(40)]
+    sent = line_dedup.sketches(frame(spark, rows).coalesce(1))
+    made = [(int(k), int(h)) for r in sent.collect() for k, h in zip(np.frombuffer(r.k, np.int64), np.frombuffer(r.h, np.int64))]
+    assert len(made) > 20_000 and sent.count() <= 1 << line_dedup.RANGE_BITS
+    buckets = {}
+    for k, h in made:
+        buckets.setdefault(k, set()).add(h)
+    want = {(k, h, min(own)) for k, own in buckets.items() for h in own if h != min(own)}
+    assert want and {tuple(r) for r in line_dedup.starred(sent.repartition(3)).collect()} == want
+
+
+def test_bound_on_similarity_loses_no_pair():
+    """The shingles that only one line of a pair has are never fewer than the bound says."""
+    lines = [prose(k, 1 + 3 * k) for k in range(30)] + [prose(7, 21) + " zz", "ä" * 3, "x" * 5000]
+    items, starts = line_dedup.sets(lines)
+    own = [set(items[i:j].tolist()) for i, j in zip(starts, starts[1:])]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+    assert (line_dedup.apart(a, b, items, starts) <= [len(own[i] ^ own[j]) for i, j in zip(a, b)]).all()
