@@ -65,17 +65,16 @@ class Phrases:
 
 def word_hits(phrases: Phrases, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Flags of the words of a shard that lie in an occurrence of a phrase."""
-    hit = np.zeros(len(words) + 1, dtype=np.int64)
+    hit = np.zeros(len(words) + 1, dtype=np.int32)
     if not len(words) or not len(phrases.vocabulary):
         return hit[:-1].astype(bool)
-    at = np.minimum(np.searchsorted(phrases.vocabulary, words), len(phrases.vocabulary) - 1)
+    at = np.minimum(np.searchsorted(phrases.vocabulary, words), len(phrases.vocabulary) - 1).astype(np.int32)
     known = phrases.vocabulary[at] == words
     start = known & np.concatenate(([True], ~known[:-1] | (doc[1:] != doc[:-1])))
-    begin = np.flatnonzero(start)
-    run = np.cumsum(start) - 1
-    length = np.bincount(run[known], minlength=len(begin))
+    run = np.cumsum(start[known], dtype=np.int32) - 1  # of the known words only; each stretch of them begins with one
     keep = known.copy()
-    keep[known] = length[run[known]] >= phrases.shortest
+    keep[known] = np.bincount(run)[run] >= phrases.shortest
+    del run
     where = np.flatnonzero(keep)
     if not len(where):
         return hit[:-1].astype(bool)
@@ -100,19 +99,19 @@ def word_hits(phrases: Phrases, doc: np.ndarray, words: np.ndarray) -> np.ndarra
 
 def spans(sent: list, texts: list[str | None]) -> list[list[tuple[int, int]]]:
     """Of every text, the ascending disjoint [start, end) character ranges to remove; sent are the broadcasts of the phrases."""
-    docs, begins, ends, hashes, origins = [], [], [], [], []
+    parts: list[list[np.ndarray]] = [[], [], [], []]
     filled = [t or "" for t in texts]
     for i, j in chunks(filled):
         chars = Chars(filled[i:j])
         doc, begin, end, h = chars.words()
         origin = chars.starts[doc]
-        for to, x in ((docs, doc + i), (begins, begin - origin), (ends, end - origin), (hashes, h)):
+        # 20 bytes a word; positions are those in a text, which is shorter than 2**31
+        for to, x in zip(parts, ((doc + i).astype(np.int32), (begin - origin).astype(np.int32), (end - origin).astype(np.int32), h)):
             to.append(x)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not docs:
+    if not parts[0]:
         return out
-    doc, begin, end, words = (np.concatenate(x) for x in (docs, begins, ends, hashes))
-    del docs, begins, ends, hashes
+    doc, begin, end, words = (np.concatenate(parts.pop(0)) for _ in range(4))  # popped, so that no column is held twice for longer than it takes
     hit = np.zeros(len(words), dtype=bool)
     for shared in sent:
         hit |= word_hits(shared.value, doc, words)

@@ -163,7 +163,8 @@ def copies(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 1) -> tupl
     roots = cut(components(edges))
     rest = cut(open_pairs(buckets.join(nodes, buckets["n"] == nodes["k1"], "left_semi"), "k", "n", roots, candidates))
     if not rest.isEmpty():
-        roots = cut(components(edges.union(verified(rest, texts, threshold))))
+        # cut, so that no task has a worker for the texts and another one for the components; workers live on, and it would be two for each core from here on
+        roots = cut(components(cut(edges.union(verified(rest, texts, threshold)))))
     release(spark)
     # by both hashes, so that a set which only shares k1 with a searched one goes by itself
     full = roots.join(reps.select("node", "k2"), "node").select(F.col("node").alias("k1"), "k2", "root")

@@ -120,3 +120,20 @@ def test_batches_are_bounded_by_bytes(spark):
         spark.conf.unset(shared.BATCH_SETTING)
         if before is not None:
             spark.conf.set(shared.BATCH_SETTING, before)
+
+
+def test_memory_of_a_shard_is_bounded_by_its_words():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    texts = [prose(k, 1000) for k in range(100)] * 4 + [f"before {ITEMS[2]} after"]
+    sent = [SimpleNamespace(value=decontaminate.Phrases([ITEMS[2]]))]
+    decontaminate.spans(sent, texts)  # the tables of the characters are made once
+    tracemalloc.start()
+    try:
+        found = decontaminate.spans(sent, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [k for k, s in enumerate(found) if s] == [400] and found[400] == [(7, 7 + len(ITEMS[2]))]
+    assert peak < 64 * 400_000, peak

@@ -104,3 +104,13 @@ def test_checkpoints_of_rounds_are_deleted(spark):
     before = count()
     found = components(edges)
     assert {r.root for r in found.collect()} == {0} and count() - before <= 1
+
+
+def test_components_are_searched_by_one_worker(spark, monkeypatch):
+    """Both times the edges come from files: a task that also compares the texts would need a second worker, which lives on beside the first."""
+    plans = []
+    found = near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or found(edges))
+    rows = [(10 * g + k, edited(prose(g, 200), k, 0.02), "en", "s") for g in range(5) for k in range(6)]
+    assert near_dup.groups(frame(spark, rows), threshold=0.99).count() == 0
+    assert len(plans) == 2 and not any("MapInArrow" in x for x in plans)
