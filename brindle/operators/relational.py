@@ -127,6 +127,20 @@ def aggregate(df: DataFrame, keys: Sequence[str] = (), having: Column | None = N
     return out if having is None else out.where(having)
 
 
+def median(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """The exact median of each group, the mean of both middle values where there are two; groups without a value have no row.
+
+    Values are counted first, and the counts added up in order of the values, so
+    that what a task sorts are the distinct values of a group, not its rows.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*keys)
+    line = group.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select(*keys, F.col("__value").cast("double").alias("__value"), F.sum("__n").over(line).alias("__upto"), F.sum("__n").over(group).alias("__all"))
+    at = lambda place: F.min(F.when(F.col("__upto") >= F.expr(place), F.col("__value")))
+    return placed.groupBy(*keys).agg((0.5 * at("(__all + 1) div 2") + 0.5 * at("__all div 2 + 1")).alias(name))
+
+
 def _key(df: DataFrame, key: str | int | Column) -> Column:
     if isinstance(key, Column):
         return key

@@ -107,6 +107,24 @@ def test_not_in_broadcasts_no_values(spark, small):
     assert "BroadcastHashJoin" not in p and "LeftAnti" in p
 
 
+def test_sketches_are_not_kept_for_every_value(spark, small):
+    import re
+
+    from brindle import plans
+
+    p = plan(plans.queries()["extension_approximate"](spark, small))
+    by_value = re.findall(r"Aggregate\(keys=\[l_returnflag#\d+, l_\w+#\d+L?[^]]*\], functions=\[(.*)\]", p)
+    assert by_value and not [f for f in by_value if "approx" in f or "percentile" in f]
+
+
+def test_median(spark):
+    import statistics
+
+    rows = [("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", 7.0), (None, 2.0), (None, None), ("b", None), ("c", -1.0), ("c", 5.0), ("c", 5.0)]
+    found = {r.k: r.m for r in R.median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m").collect()}
+    assert found == {k: statistics.median(v for g, v in rows if g == k and v is not None) for k in ("a", None, "c")}
+
+
 def test_orders(spark):
     df = spark.createDataFrame([(1, "b"), (None, "a"), (3, "c"), (3, "a"), (2, None)], "k int, s string")
     rows = lambda *keys: [tuple(r) for r in R.order_by(df, *keys).collect()]
