@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.scalar import int_divide
+
 JOINS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count": F.count, "count_distinct": F.count_distinct}
 
@@ -98,18 +100,27 @@ def _struct_of(df: DataFrame) -> T.StructType:
 def _micros(df: DataFrame, c: str) -> Column:
     """Microseconds since 1970, in no time zone for stamps that have none."""
     if isinstance(df.schema[c].dataType, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+        return ((F.col(c) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(24,6)") * 1_000_000).cast("long")
     return F.unix_micros(F.col(c))
 
 
+#: Buckets for the width of a range join's interval. Of n + 1 pairs that are compared one is in vain, and an interval is copied n or n + 1 times.
+RANGE_BUCKETS = 2
+
+
 def join_range(left: DataFrame, right: DataFrame, start: str, time: str, seconds: int) -> DataFrame:
-    """Pairs where right's time lies in [start, start + seconds), by an equi-join on buckets of `seconds`: an interval touches two of them."""
+    """Pairs where right's time lies in [start, start + seconds), by an equi-join on buckets of a part of `seconds`: an interval is copied to those that it touches.
+
+    The end of an interval is made before the join, so that a pair costs two
+    comparisons of columns: there can be many more pairs than rows.
+    """
     _distinct_names(left, right)
-    first = F.floor(_micros(left, start) / (seconds * 1_000_000)).cast("long")
-    spread = left.withColumn("__bucket", F.explode(F.array(first, first + 1)))
-    own = F.floor(_micros(right, time) / (seconds * 1_000_000)).cast("long")
-    met = spread.join(right.withColumn("__own", own), F.col("__bucket") == F.col("__own"))
-    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(start) + F.expr(f"interval {seconds} seconds"))).drop("__bucket", "__own")
+    width = F.lit(seconds * 1_000_000 // RANGE_BUCKETS)
+    bucket = lambda micros: int_divide(micros - F.pmod(micros, width), width)
+    ranges = left.withColumn("__end", F.col(start) + F.expr(f"interval {seconds} seconds")).withColumn("__from", _micros(left, start))
+    spread = ranges.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__from")), bucket(F.col("__from") + (seconds * 1_000_000 - 1))))).drop("__from")
+    met = spread.join(right.withColumn("__own", bucket(_micros(right, time))), F.col("__bucket") == F.col("__own"))
+    return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col("__end"))).drop("__bucket", "__own", "__end")
 
 
 def aggregate(df: DataFrame, keys: Sequence[str] = (), having: Column | None = None, **aggregates: tuple[str, str | Column] | Column) -> DataFrame:

@@ -153,6 +153,27 @@ def test_as_of_and_range_joins(spark):
     assert pairs == {(p.x, q.y) for p in a.collect() for q in rows if p.ts is not None and q.ts is not None and 0 <= (q.ts - p.ts).total_seconds() < 7}
 
 
+def test_range_join_adds_nothing_to_times_of_pairs(spark, small):
+    """The end of a range is a column of its row: adding an interval costs more than all else that is done for a pair."""
+    from brindle import plans
+
+    joins = [x for x in plan(plans.queries()["extension_join_range"](spark, small)).splitlines() if "Join" in x]
+    assert joins and not [x for x in joins if "interval" in x.lower()]
+
+
+def test_range_join_in_the_hour_that_clocks_skip(spark):
+    """Stamps without a zone are joined as they are, to the microsecond, in whatever zone the session is."""
+    left = spark.createDataFrame([(1, "2024-03-10 02:58:00"), (2, "2024-03-10 01:59:00"), (3, "1969-12-31 23:59:59.5"), (4, "9000-01-01 00:00:00.000001"), (5, None)], "x int, t string").selectExpr("x", "cast(t as timestamp_ntz) since")
+    right = spark.createDataFrame([(1, "2024-03-10 03:02:59.999999"), (2, "2024-03-10 03:03:00"), (3, "2024-03-10 02:58:00"), (4, "2024-03-10 02:03:59"), (5, "1970-01-01 00:04:59.499999"), (6, "9000-01-01 00:05:00"), (7, "9000-01-01 00:05:00.000001"), (8, None)], "y int, t string").selectExpr("y", "cast(t as timestamp_ntz) ts")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = {(r.x, r.y) for r in R.join_range(left, right, "since", "ts", 300).select("x", "y").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert found == {(1, 1), (1, 3), (2, 4), (3, 5), (4, 6)}
+
+
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", None), (2, 'say "x"', 2.5)], "k int, s string, d double")
     write_csv(df, f"{tmp_path}/one.csv")
