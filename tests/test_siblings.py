@@ -41,6 +41,32 @@ def test_generated_expressions(n, seed):
     assert expressions.evaluate(text) == truncating(text)
 
 
+def test_expressions_in_columns(monkeypatch):
+    """Texts of a shape that many have are worked off in columns, with the values of `evaluate`, and the shape is read once."""
+    import re
+
+    import pyarrow as pa
+
+    draw = random.Random(0)
+    numbers = [0, 1, 2, 7, 46341, 3037000499, 3037000500, 1 << 62, (1 << 63) - 1, 1 << 63, 10**18 - 1, 10**18, 10**20]
+    forms = ["-# * (# - #) / (-#) + # / # * 2", "#", "-#", "#*#", "-#/-#", "# - # - #", "--# + #", "-(#*#)/#", "(#", "# #", "", "a#", "#.#", " # \n", "\x1c#+#", "\u0663+#", "é#", "00#"]
+    texts = [re.sub("#", lambda _: str(draw.choice([*numbers, draw.randint(0, 10**6)])), draw.choice(forms)) for _ in range(3000)]
+    texts[5::50] = [None] * len(texts[5::50])
+    want = [expressions.evaluate(x) for x in texts]
+    assert sum(x is not None for x in want) > 1000
+    for limit in (expressions.SLICE, 300, 1):
+        monkeypatch.setattr(expressions, "SLICE", limit)
+        assert expressions.evaluate_all(pa.array(texts, pa.string())).to_pylist() == want
+        assert expressions.evaluate_all(pa.array(texts, pa.string())[7:2000]).to_pylist() == want[7:2000]
+    monkeypatch.undo()
+    assert expressions.evaluate_all(pa.array([], pa.string())).to_pylist() == [] and expressions.evaluate_all(pa.array([None] * 20, pa.string())).null_count == 20
+    read = []
+    postfix = expressions.postfix
+    monkeypatch.setattr(expressions, "postfix", lambda text: read.append(text) or postfix(text))
+    assert expressions.evaluate_all(pa.array([f"{i} + {i * i}" for i in range(1000)])).to_pylist() == [i + i * i for i in range(1000)]
+    assert read == ["0 + 0"]
+
+
 def test_chunks(spark):
     lines = ["abcd1234x", "abcd", "abcde", "", "12345678", "é bcd5"]
     expected: dict = {}
